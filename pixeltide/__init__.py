@@ -14,7 +14,7 @@ from pixeltide.operators.audience import (
 )
 from pixeltide.operators.canvas import canvas_region, dense_grid, final_cells, user_canvas
 from pixeltide.operators.counts import count_by, distinct_pixels
-from pixeltide.operators.filters import at_pixels, in_box
+from pixeltide.operators.filters import at_pixels, in_box, within_frame
 from pixeltide.operators.frames import (
     mode_coordinate_in_frame,
     mode_in_frame,
@@ -74,5 +74,6 @@ __all__ = [
     "user_positions",
     "with_color_names",
     "with_rgb",
+    "within_frame",
     "write_log",
 ]

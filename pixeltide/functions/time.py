@@ -66,6 +66,18 @@ def in_frame(column: Column | str, start: Moment, end: Moment, end_inclusive: bo
     return (ts >= moment(first)) & below_end
 
 
+def hour_key(column: Column | str) -> Column:
+    """The hour of a timestamp as an int such as 2022040112."""
+    ts = F.col(column) if isinstance(column, str) else column
+    date = F.year(ts) * 1000000 + F.month(ts) * 10000 + F.dayofmonth(ts) * 100
+    return date + F.hour(ts)
+
+
+def hour_number(value: Moment) -> int:
+    """``hour_key`` of a single moment."""
+    return int(as_moment(value).strftime("%Y%m%d%H"))
+
+
 def parse_timestamp(text: Column | str, strict: bool = False) -> Column:
     """Text such as ``2022-04-01 12:00:00.123 UTC`` as TIMESTAMP_NTZ.
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixeltide.functions.color import with_color_names
-from pixeltide.functions.time import Moment, as_range, in_frame, moment
+from pixeltide.functions.time import Moment, as_range, moment
+from pixeltide.operators.filters import until, within_frame
 
 
 def rank_colors_by_distinct_users(
@@ -25,7 +26,7 @@ def rank_colors_by_distinct_users(
     one task.
     """
     per_color = (
-        log.filter(in_frame("timestamp", start, end, end_inclusive))
+        within_frame(log, start, end, end_inclusive)
         .groupBy("pixel_color")
         .agg(F.count_distinct("user_id_hashed").alias("distinct_users"))
     )
@@ -48,9 +49,11 @@ def count_first_time_users(
     before the frame must stay.
     """
     first, last = as_range(start, end)
-    ts = F.col("timestamp")
-    history = log.filter(ts <= moment(last) if end_inclusive else ts < moment(last))
-    firsts = history.groupBy("user_id_hashed").agg(F.min("timestamp").alias("first_placement"))
+    firsts = (
+        until(log, last, end_inclusive)
+        .groupBy("user_id_hashed")
+        .agg(F.min("timestamp").alias("first_placement"))
+    )
     return firsts.filter(F.col("first_placement") >= moment(first)).agg(
         F.count("*").alias("first_time_users")
     )
@@ -70,7 +73,7 @@ def placement_percentiles(
     not one per user.
     """
     per_user = (
-        log.filter(in_frame("timestamp", start, end, end_inclusive))
+        within_frame(log, start, end, end_inclusive)
         .groupBy("user_id_hashed")
         .agg(F.count("*").alias("n"))
     )

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixeltide.functions.color import with_rgb
-from pixeltide.functions.time import Moment, in_frame
-from pixeltide.operators.filters import in_box
+from pixeltide.functions.time import Moment
+from pixeltide.operators.filters import in_box, within_frame
 from pixeltide.operators.users import user_positions
 
 BLACK = "#000000"
@@ -56,7 +56,7 @@ def canvas_region(
     """
     inside = log.filter(in_box(cx, cy, radius))
     if start is not None and end is not None:
-        inside = inside.filter(in_frame("timestamp", start, end))
+        inside = within_frame(inside, start, end)
     elif start is not None or end is not None:
         raise ValueError("give both start and end, or neither")
     cells = final_cells(inside, policy).select(

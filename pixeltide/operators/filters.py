@@ -3,10 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixeltide.functions.time import Moment, as_moment, as_range, hour_number, in_frame, moment
+from pixeltide.sources.schema import HOUR
+
+
+def within_frame(log: DataFrame, start: Moment, end: Moment, end_inclusive: bool = False) -> DataFrame:
+    """The placements of a frame, read from its hour folders only if the log has them."""
+    rows = log.filter(in_frame("timestamp", start, end, end_inclusive))
+    if HOUR in log.columns:
+        first, last = as_range(start, end)
+        rows = rows.filter(F.col(HOUR).between(hour_number(first), _last_hour(last, end_inclusive)))
+    return rows
+
+
+def until(log: DataFrame, end: Moment, end_inclusive: bool = True) -> DataFrame:
+    """The placements up to a moment, whatever their start."""
+    ts = F.col("timestamp")
+    rows = log.filter(ts <= moment(end) if end_inclusive else ts < moment(end))
+    if HOUR in log.columns:
+        rows = rows.filter(F.col(HOUR) <= _last_hour(as_moment(end), end_inclusive))
+    return rows
+
+
+def _last_hour(end: datetime, end_inclusive: bool) -> int:
+    return hour_number(end if end_inclusive else end - timedelta(microseconds=1))
+
 
 def in_box(cx: int, cy: int, radius: int) -> Column:
     """True within ``radius`` of the centre on both axes, as plain ranges that push down."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pixeltide.functions.coordinate import coordinate_text
 from pixeltide.functions.time import Frame, Moment, hour_frames, in_frame, moment
+from pixeltide.operators.filters import within_frame
 
 
 def mode_in_frame(
@@ -23,7 +24,8 @@ def mode_in_frame(
     One row, or none if the frame is empty. The smallest key wins a tie.
     """
     return (
-        log.filter(in_frame("timestamp", start, end, end_inclusive) & F.col(key).isNotNull())
+        within_frame(log, start, end, end_inclusive)
+        .filter(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count("*").alias("placements"))
         .orderBy(F.desc("placements"), key)
@@ -41,9 +43,9 @@ def mode_coordinate_in_frame(
 
     Groups on the two ints and only then makes the text that decides ties.
     """
-    inside = in_frame("timestamp", start, end, end_inclusive)
     return (
-        log.filter(inside & F.col("x").isNotNull() & F.col("y").isNotNull())
+        within_frame(log, start, end, end_inclusive)
+        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
         .groupBy("x", "y")
         .agg(F.count("*").alias("placements"))
         .select(coordinate_text().alias("coordinate"), "placements")
@@ -52,10 +54,10 @@ def mode_coordinate_in_frame(
     )
 
 
-def _within_any(frames: Sequence[Frame], end_inclusive: bool) -> Column:
+def _within_any(log: DataFrame, frames: Sequence[Frame], end_inclusive: bool) -> DataFrame:
     first = min(frame.start for frame in frames)
     last = max(frame.end for frame in frames)
-    return in_frame("timestamp", first, last, end_inclusive)
+    return within_frame(log, first, last, end_inclusive)
 
 
 def _frame_counts(frames: Sequence[Frame], end_inclusive: bool) -> list[Column]:
@@ -102,7 +104,7 @@ def timeframe_modes(
     frames = hour_frames(start, tuple(hours))
     cells = key == "coordinate" and key not in log.columns
     tallies = (
-        log.filter(_within_any(frames, end_inclusive))
+        _within_any(log, frames, end_inclusive)
         .groupBy(*(["x", "y"] if cells else [key]))
         .agg(*_frame_counts(frames, end_inclusive))
     )
@@ -132,7 +134,7 @@ def timeframe_summary(
     """
     frames = hour_frames(start, tuple(hours))
     tallies = (
-        log.filter(_within_any(frames, end_inclusive))
+        _within_any(log, frames, end_inclusive)
         .groupingSets([["pixel_color"], ["x", "y"]], "pixel_color", "x", "y")
         .agg(F.grouping("x").alias("by_color"), *_frame_counts(frames, end_inclusive))
     )

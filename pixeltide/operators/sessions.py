@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixeltide.functions.time import Moment, in_frame, seconds_between
+from pixeltide.functions.time import Moment, seconds_between
+from pixeltide.operators.filters import within_frame
 
 GAP_SECONDS = 900
 
@@ -32,7 +33,7 @@ def _numbered_slots(log: DataFrame, gap_seconds: int) -> DataFrame:
             F.count("*").alias("placements"),
         )
     )
-    by_user = Window.partitionBy("user_id_hashed").orderBy("slot")
+    by_user = Window.partitionBy("user_id_hashed").orderBy("first_placed")
     previous = F.lag("last_placed").over(by_user)
     gap = F.make_dt_interval(secs=F.lit(int(gap_seconds)))
     starts = previous.isNull() | (F.col("first_placed") - previous > gap)
@@ -109,7 +110,7 @@ def average_session_length(
     The frame is cut first: a session that crosses its border counts with the
     part inside.
     """
-    inside = log.filter(in_frame("timestamp", start, end, end_inclusive))
+    inside = within_frame(log, start, end, end_inclusive)
     return session_durations(inside, gap_seconds).agg(
         F.avg("session_seconds").alias("avg_session_seconds"), F.count("*").alias("sessions")
     )

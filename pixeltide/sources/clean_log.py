@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.sources.schema import CLEAN
+from pixeltide.functions.time import hour_key
+from pixeltide.sources.schema import HOUR
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The clean log; the declared schema saves reading footers to find it."""
-    return spark.read.schema(CLEAN).parquet(path)
+    """The clean log, with the folder column ``placed_hour`` if it was clustered by time."""
+    return spark.read.parquet(path)
 
 
 def write_log(
@@ -22,19 +23,26 @@ def write_log(
 ) -> None:
     """Write the log as zstd Parquet.
 
-    ``cluster_by_time`` range-partitions on time and sorts each file, so that a
-    frame filter skips whole files and row groups ever after. The source
-    partition is a second range key: it splits a single moment that holds a
-    large share of the rows. Without it, rows are written where they are read.
+    ``cluster_by_time`` writes one folder per hour, in time order. Frames are
+    made of hours, so a frame filter then reads only its own folders; Spark
+    does not prune Parquet row groups on zone-less timestamps, whatever the
+    plan lists as pushed. Range partitioning gives each task a stretch of time,
+    so an hour is not scattered over many files. The source partition is a
+    second range key: it splits a single moment that holds a large share of the
+    rows. Without ``cluster_by_time`` rows are written where they are read.
     """
     if cluster_by_time:
         log = (
-            log.withColumn("_source", F.spark_partition_id())
+            log.drop(HOUR)
+            .withColumn("_source", F.spark_partition_id())
             .repartitionByRange("timestamp", "_source")
-            .sortWithinPartitions("timestamp")
+            .withColumn(HOUR, hour_key("timestamp"))
+            .sortWithinPartitions(HOUR, "timestamp")
             .drop("_source")
         )
     writer = log.write.mode(mode).option("compression", "zstd")
     if zstd_level is not None:
         writer = writer.option("parquet.compression.codec.zstd.level", str(zstd_level))
+    if HOUR in log.columns:
+        writer = writer.partitionBy(HOUR)
     writer.parquet(path)

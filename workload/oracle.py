@@ -137,6 +137,7 @@ def _pixel_colors(condition: str) -> str:
 ORACLE: dict[str, str] = {
     "csv_ingest": f"with {RAW} select timestamp, pixel_color, x, y from r",
     "parquet_roundtrip": f"with {LOG} select * from p",
+    "frame_of_clustered_log": f"with {HALF_OPEN} select * from f",
     "split_coordinates": f"with {RAW} select coordinate, x, y from r",
     "user_hash_cardinality": "select count(distinct user_id) as users from events",
     "parse_timestamps": f"with {RAW} select text, timestamp from r",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import pixeltide as px
 from pixeltide.functions.time import moment
+from pixeltide.sources.schema import CLEAN
 from pixeltide.sources.shared_folder import fresh_path
 from workload.placements import placements, raw_placements
 
@@ -30,7 +31,7 @@ def query(function: Query) -> Query:
 
 
 def _framed(spark, sf_dir, end_inclusive=True):
-    return placements(spark, sf_dir).filter(px.in_frame("timestamp", START, END, end_inclusive))
+    return px.within_frame(placements(spark, sf_dir), START, END, end_inclusive)
 
 
 # Sources and ingest
@@ -47,7 +48,14 @@ def csv_ingest(spark, sf_dir):
 def parquet_roundtrip(spark, sf_dir):
     path = fresh_path(spark, "clean-log")
     px.write_log(placements(spark, sf_dir), path)
-    return px.read_log(spark, path)
+    return px.read_log(spark, path).select(*CLEAN.fieldNames())
+
+
+@query
+def frame_of_clustered_log(spark, sf_dir):
+    path = fresh_path(spark, "clean-log")
+    px.write_log(placements(spark, sf_dir), path)
+    return px.within_frame(px.read_log(spark, path), START, END).select(*CLEAN.fieldNames())
 
 
 @query
