@@ -32,7 +32,7 @@ from pixeltide.operators.sessions import (
 from pixeltide.operators.users import top_users, user_positions
 from pixeltide.plans.frame_report import FrameReport, frame_report
 from pixeltide.sources.clean_log import read_log, write_log
-from pixeltide.sources.raw_csv import clean_log, ingest_csv, read_raw_csv
+from pixeltide.sources.raw_csv import clean_log, ingest_csv, read_raw_csv, timed_raw_log
 
 __all__ = [
     "FrameReport",
@@ -65,6 +65,7 @@ __all__ = [
     "session_flags",
     "sessionize",
     "split_coordinate",
+    "timed_raw_log",
     "timeframe_modes",
     "timeframe_summary",
     "top_colors_per_pixel",

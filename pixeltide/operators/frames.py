@@ -43,12 +43,13 @@ def mode_coordinate_in_frame(
 
     Groups on the two ints and only then makes the text that decides ties.
     """
+    group_by, cell = _cell(log)
     return (
         within_frame(log, start, end, end_inclusive)
-        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("x", "y")
+        .filter(cell.isNotNull())
+        .groupBy(*group_by)
         .agg(F.count("*").alias("placements"))
-        .select(coordinate_text().alias("coordinate"), "placements")
+        .select(cell.alias("coordinate"), "placements")
         .orderBy(F.desc("placements"), "coordinate")
         .limit(1)
     )
@@ -68,6 +69,13 @@ def _frame_counts(frames: Sequence[Frame], end_inclusive: bool) -> list[Column]:
     ]
 
 
+def _cell(log: DataFrame) -> tuple[list[str], Column]:
+    """What to group cells by, and their text form."""
+    if "coordinate" in log.columns:
+        return ["coordinate"], F.col("coordinate")
+    return ["x", "y"], coordinate_text()
+
+
 def _top(key: Column, n: str, of: Column | None = None) -> Column:
     """Over all tallies: the key with the largest ``n``, the smallest key on a tie.
 
@@ -102,13 +110,12 @@ def timeframe_modes(
     An empty frame has a NULL key.
     """
     frames = hour_frames(start, tuple(hours))
-    cells = key == "coordinate" and key not in log.columns
+    group_by, value = _cell(log) if key == "coordinate" else ([key], F.col(key))
     tallies = (
         _within_any(log, frames, end_inclusive)
-        .groupBy(*(["x", "y"] if cells else [key]))
+        .groupBy(*group_by)
         .agg(*_frame_counts(frames, end_inclusive))
     )
-    value = coordinate_text() if cells else F.col(key)
     tops = tallies.agg(*[_top(value, f"n{i}").alias(f"top{i}") for i in range(len(frames))])
     rows = [
         F.struct(
@@ -129,17 +136,20 @@ def timeframe_summary(
 ) -> DataFrame:
     """One row per frame with its most placed colour and its most painted cell.
 
+    The cell is the text ``coordinate`` if the log has that column, else x and y.
+
     The colour and the cell counts of all frames are grouping sets of one scan
     and one shuffle. Rows are combined before the shuffle.
     """
     frames = hour_frames(start, tuple(hours))
+    cell_key, cell = _cell(log)
     tallies = (
         _within_any(log, frames, end_inclusive)
-        .groupingSets([["pixel_color"], ["x", "y"]], "pixel_color", "x", "y")
-        .agg(F.grouping("x").alias("by_color"), *_frame_counts(frames, end_inclusive))
+        .groupingSets([["pixel_color"], cell_key], "pixel_color", *cell_key)
+        .agg(F.grouping("pixel_color").alias("by_cell"), *_frame_counts(frames, end_inclusive))
     )
-    by_color = F.col("by_color") == 1
-    color, cell = F.col("pixel_color"), coordinate_text()
+    by_color = F.col("by_cell") == 0
+    color = F.col("pixel_color")
     tops = tallies.agg(
         *[_top(color, f"n{i}", by_color).alias(f"color{i}") for i in range(len(frames))],
         *[_top(cell, f"n{i}", ~by_color).alias(f"cell{i}") for i in range(len(frames))],

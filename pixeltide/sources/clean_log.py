@@ -26,19 +26,17 @@ def write_log(
     ``cluster_by_time`` writes one folder per hour, in time order. Frames are
     made of hours, so a frame filter then reads only its own folders; Spark
     does not prune Parquet row groups on zone-less timestamps, whatever the
-    plan lists as pushed. Range partitioning gives each task a stretch of time,
-    so an hour is not scattered over many files. The source partition is a
-    second range key: it splits a single moment that holds a large share of the
-    rows. Without ``cluster_by_time`` rows are written where they are read.
+    plan lists as pushed. The rebalance hint brings the rows of an hour
+    together in one pass over the source, and lets AQE split an hour that is
+    larger than ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` over as many
+    tasks (and files) as it needs. Without ``cluster_by_time`` rows are written
+    where they are read.
     """
     if cluster_by_time:
         log = (
-            log.drop(HOUR)
-            .withColumn("_source", F.spark_partition_id())
-            .repartitionByRange("timestamp", "_source")
-            .withColumn(HOUR, hour_key("timestamp"))
+            log.withColumn(HOUR, hour_key("timestamp"))
+            .hint("rebalance", F.col(HOUR))
             .sortWithinPartitions(HOUR, "timestamp")
-            .drop("_source")
         )
     writer = log.write.mode(mode).option("compression", "zstd")
     if zstd_level is not None:

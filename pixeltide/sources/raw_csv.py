@@ -22,6 +22,15 @@ def read_raw_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select(*RAW.fieldNames())
 
 
+def timed_raw_log(raw: DataFrame, strict_timestamps: bool = False) -> DataFrame:
+    """The raw log with parsed timestamps and the coordinates still text.
+
+    For frame questions straight from CSV: a four-part coordinate stays a key
+    of its own here, while ``clean_log`` cuts it to its first two parts.
+    """
+    return raw.withColumn("timestamp", parse_timestamp("timestamp", strict_timestamps))
+
+
 def clean_log(
     raw: DataFrame,
     strict_timestamps: bool = False,

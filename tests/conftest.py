@@ -17,6 +17,7 @@ def spark():
         .appName("pixeltide-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         # Not UTC on purpose: no result may depend on the session zone.
         .config("spark.sql.session.timeZone", "America/New_York")
         .getOrCreate()

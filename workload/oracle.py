@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pixeltide.functions.color import PALETTE, UNKNOWN
 from pixeltide.functions.time import as_moment, hour_frames
-from workload.placements import COLUMNS, PLACEMENTS
+from workload.placements import CLEAN, PAINTED
 from workload.queries import (
     CENTER_X,
     CENTER_Y,
@@ -25,7 +25,7 @@ def _ts(value) -> str:
     return f"timestamp '{as_moment(value)}'"
 
 
-LOG = f"p as ({PLACEMENTS})"
+LOG = f"p as (select {', '.join(CLEAN)} from events)"
 FRAMED = f"{LOG}, f as (select * from p where timestamp >= {_ts(START)} and timestamp <= {_ts(END)})"
 HALF_OPEN = f"{LOG}, f as (select * from p where timestamp >= {_ts(START)} and timestamp < {_ts(END)})"
 BOX = (
@@ -46,7 +46,7 @@ r as (select event_id, user_id, pixel_color, x, y,
              else strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' UTC' end as text,
         case when event_id % 10 = 0 then x || ',' || y || ',' || (x + 1) || ',' || (y + 1)
              else x || ',' || y end as coordinate
-      from (select event_id, user_id, ts, {COLUMNS} from events))
+      from (select event_id, user_id, ts, {', '.join(PAINTED)} from events))
 """
 
 
@@ -86,15 +86,19 @@ def _frames() -> str:
     return f"frames(name, hours, frame_start, frame_end, timeframe) as (values {rows})"
 
 
-def _frame_tops(key: str, tag: str) -> str:
+def _frame_tops(key: str, tag: str, log: str = "p") -> str:
     return f"""{tag} as (select * from (
   select name, k, n, row_number() over (partition by name order by n desc, k) as rn from (
     select name, {key} as k, count(*) as n
-    from p join frames on timestamp >= frame_start and timestamp < frame_end group by name, {key})) where rn = 1)"""
+    from {log} join frames on timestamp >= frame_start and timestamp < frame_end group by name, {key})) where rn = 1)"""
 
 
 COORDINATE = "x || ',' || y"
 COLOR_TOPS, CELL_TOPS = _frame_tops("pixel_color", "c"), _frame_tops(COORDINATE, "q")
+SUMMARY = """
+select frames.name, hours, frame_start, frame_end, timeframe, c.k as most_color, c.n as color_placements,
+       q.k as most_pixel, q.n as pixel_placements
+from frames left join c on c.name = frames.name left join q on q.name = frames.name"""
 
 PER_USER = "per_user as (select count(*) as n from f group by user_id_hashed)"
 PERCENTAGES = (0.5, 0.75, 0.9, 0.99)
@@ -162,10 +166,9 @@ ORACLE: dict[str, str] = {
 select name, hours, frame_start, frame_end, k as pixel_color, n as placements from frames left join c using (name)""",
     "timeframe_mode_coordinate": f"""with {LOG}, {_frames()}, {CELL_TOPS}
 select name, hours, frame_start, frame_end, k as coordinate, n as placements from frames left join q using (name)""",
-    "timeframe_summary": f"""with {LOG}, {_frames()}, {COLOR_TOPS}, {CELL_TOPS}
-select frames.name, hours, frame_start, frame_end, timeframe, c.k as most_color, c.n as color_placements,
-       q.k as most_pixel, q.n as pixel_placements
-from frames left join c on c.name = frames.name left join q on q.name = frames.name""",
+    "timeframe_summary": f"with {LOG}, {_frames()}, {COLOR_TOPS}, {CELL_TOPS} {SUMMARY}",
+    "timeframe_summary_csv": f"with {RAW}, {_frames()}, {_frame_tops('pixel_color', 'c', 'r')}, "
+    f"{_frame_tops('coordinate', 'q', 'r')} {SUMMARY}",
     "rank_colors": f"with {FRAMED}, {NAMES}, {RANKED} select * from ranked",
     "color_names": f"with {LOG}, {NAMES} select p.*, {NAMED} from p left join names using (pixel_color)",
     "first_time_users": f"""with {LOG} select count(*) as first_time_users from (

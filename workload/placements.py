@@ -1,44 +1,47 @@
 """A pixel log made from every row of the driver's ``events`` table.
 
-The text is valid in both Spark SQL and DuckDB. ``#123456`` is not on the
-palette; the two signup colours share one name.
+The expressions are valid in both Spark SQL and DuckDB. ``#123456`` is not on
+the palette; the two signup colours share one name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-COLUMNS = """
-       case event_type when 'click' then '#FFFFFF' when 'view' then '#000000' when 'purchase' then '#FF4500'
+# Declared, so that no job reads footers to find it.
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
+
+PAINTED = [
+    """case event_type when 'click' then '#FFFFFF' when 'view' then '#000000' when 'purchase' then '#FF4500'
             when 'signup' then case when event_id % 3 = 0 then '#00A368' else '#00756F' end
-            else case when event_id % 5 = 0 then '#123456' else '#E4ABFF' end end as pixel_color,
-       cast((event_id * 7 + user_id) % 23 as int) as x,
-       cast((event_id * 3 + user_id * user_id) % 17 as int) as y
-"""
-PLACEMENTS = f"select ts as timestamp, user_id as user_id_hashed, {COLUMNS} from events"
+            else case when event_id % 5 = 0 then '#123456' else '#E4ABFF' end end as pixel_color""",
+    "cast((event_id * 7 + user_id) % 23 as int) as x",
+    "cast((event_id * 3 + user_id * user_id) % 17 as int) as y",
+]
+CLEAN = ["ts as timestamp", "user_id as user_id_hashed", *PAINTED]
 
 # A fraction is absent on every fourth row; every 97th timestamp is junk; every
 # tenth coordinate has four parts.
-RAW_PLACEMENTS = f"""
-select case when event_id % 97 = 0 then 'bad'
-            when event_id % 4 = 0 then date_format(timestamp, 'yyyy-MM-dd HH:mm:ss') || ' UTC'
-            else date_format(timestamp, 'yyyy-MM-dd HH:mm:ss.SSS') || ' UTC' end as timestamp,
-       cast(user_id as string) as user_id, pixel_color,
-       case when event_id % 10 = 0 then concat_ws(',', x, y, x + 1, y + 1)
-            else concat_ws(',', x, y) end as coordinate
-from (select event_id, user_id, ts as timestamp, {COLUMNS} from events)
-"""
+RAW = [
+    """case when event_id % 97 = 0 then 'bad'
+            when event_id % 4 = 0 then date_format(ts, 'yyyy-MM-dd HH:mm:ss') || ' UTC'
+            else date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS') || ' UTC' end as timestamp""",
+    "cast(user_id as string) as user_id",
+    "pixel_color",
+    """case when event_id % 10 = 0 then concat_ws(',', x, y, x + 1, y + 1)
+            else concat_ws(',', x, y) end as coordinate""",
+]
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean log."""
-    return spark.sql(PLACEMENTS.replace("from events", "from {events}"), events=_events(spark, sf_dir))
+    return _events(spark, sf_dir).selectExpr(*CLEAN)
 
 
 def raw_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw log, all text."""
-    return spark.sql(RAW_PLACEMENTS.replace("from events", "from {events}"), events=_events(spark, sf_dir))
+    return _events(spark, sf_dir).selectExpr("*", *PAINTED).selectExpr(*RAW)

@@ -171,6 +171,13 @@ def timeframe_summary(spark, sf_dir):
     return px.timeframe_summary(placements(spark, sf_dir), START, HOURS)
 
 
+@query
+def timeframe_summary_csv(spark, sf_dir):
+    path = fresh_path(spark, "raw-log")
+    raw_placements(spark, sf_dir).write.option("header", True).csv(path)
+    return px.timeframe_summary(px.timed_raw_log(px.read_raw_csv(spark, path)), START, HOURS)
+
+
 # Audience
 
 
