@@ -53,29 +53,37 @@ def hour_frames(start: Moment, hours: tuple[int, ...] = (1, 3, 6)) -> list[Frame
     return [Frame(f"{h}-Hour Timeframe", first, first + timedelta(hours=h)) for h in hours]
 
 
+def last_inside(end: datetime, end_inclusive: bool) -> datetime:
+    """The last moment before (or at) the end; timestamps have microseconds."""
+    return end if end_inclusive else end - timedelta(microseconds=1)
+
+
 def moment(value: Moment) -> Column:
     """A TIMESTAMP_NTZ literal; a bare ``F.lit(datetime)`` would carry the session zone."""
     return F.lit(as_moment(value).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def in_frame(column: Column | str, start: Moment, end: Moment, end_inclusive: bool = False) -> Column:
-    """True inside the frame. Two plain comparisons, so Parquet gets them pushed down."""
+    """True inside the frame.
+
+    BETWEEN with the last moment inside the frame: a timestamp that is parsed
+    from text is then parsed once per row and not once per bound.
+    """
     first, last = as_range(start, end)
     ts = F.col(column) if isinstance(column, str) else column
-    below_end = ts <= moment(last) if end_inclusive else ts < moment(last)
-    return (ts >= moment(first)) & below_end
+    return ts.between(moment(first), moment(last_inside(last, end_inclusive)))
 
 
-def hour_key(column: Column | str) -> Column:
-    """The hour of a timestamp as an int such as 2022040112."""
+def day_key(column: Column | str) -> Column:
+    """The day of a timestamp as an int such as 20220401."""
     ts = F.col(column) if isinstance(column, str) else column
-    date = F.year(ts) * 1000000 + F.month(ts) * 10000 + F.dayofmonth(ts) * 100
-    return date + F.hour(ts)
+    return F.year(ts) * 10000 + F.month(ts) * 100 + F.dayofmonth(ts)
 
 
-def hour_number(value: Moment) -> int:
-    """``hour_key`` of a single moment."""
-    return int(as_moment(value).strftime("%Y%m%d%H"))
+def hour_key(column: Column | str) -> Column:
+    """The hour of a timestamp as an int such as 2022040112."""
+    ts = F.col(column) if isinstance(column, str) else column
+    return day_key(ts) * 100 + F.hour(ts)
 
 
 def parse_timestamp(text: Column | str, strict: bool = False) -> Column:

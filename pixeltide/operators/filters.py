@@ -3,35 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.functions.time import Moment, as_moment, as_range, hour_number, in_frame, moment
-from pixeltide.sources.schema import HOUR
+from pixeltide.functions.time import Moment, as_moment, as_range, in_frame, last_inside, moment
+from pixeltide.sources.schema import DAY, HOUR
+
+FOLDER_FORMATS = {HOUR: "%Y%m%d%H", DAY: "%Y%m%d"}
 
 
 def within_frame(log: DataFrame, start: Moment, end: Moment, end_inclusive: bool = False) -> DataFrame:
-    """The placements of a frame, read from its hour folders only if the log has them."""
+    """The placements of a frame, read from its own folders only if the log has them."""
+    first, last = as_range(start, end)
+    last = last_inside(last, end_inclusive)
     rows = log.filter(in_frame("timestamp", start, end, end_inclusive))
-    if HOUR in log.columns:
-        first, last = as_range(start, end)
-        rows = rows.filter(F.col(HOUR).between(hour_number(first), _last_hour(last, end_inclusive)))
+    for column in _folders(log):
+        rows = rows.filter(F.col(column).between(_number(column, first), _number(column, last)))
     return rows
 
 
 def until(log: DataFrame, end: Moment, end_inclusive: bool = True) -> DataFrame:
     """The placements up to a moment, whatever their start."""
-    ts = F.col("timestamp")
-    rows = log.filter(ts <= moment(end) if end_inclusive else ts < moment(end))
-    if HOUR in log.columns:
-        rows = rows.filter(F.col(HOUR) <= _last_hour(as_moment(end), end_inclusive))
+    last = last_inside(as_moment(end), end_inclusive)
+    rows = log.filter(F.col("timestamp") <= moment(last))
+    for column in _folders(log):
+        rows = rows.filter(F.col(column) <= _number(column, last))
     return rows
 
 
-def _last_hour(end: datetime, end_inclusive: bool) -> int:
-    return hour_number(end if end_inclusive else end - timedelta(microseconds=1))
+def _folders(log: DataFrame) -> list[str]:
+    return [column for column in FOLDER_FORMATS if column in log.columns]
+
+
+def _number(column: str, at: datetime) -> int:
+    return int(at.strftime(FOLDER_FORMATS[column]))
 
 
 def in_box(cx: int, cy: int, radius: int) -> Column:

@@ -5,42 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.functions.time import hour_key
-from pixeltide.sources.schema import HOUR
+from pixeltide.functions.time import day_key, hour_key
+from pixeltide.sources.schema import DAY, HOUR
+
+FOLDERS = {"hour": (HOUR, hour_key), "day": (DAY, day_key)}
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The clean log, with the folder column ``placed_hour`` if it was clustered by time."""
+    """The clean log, with its folder column if it was clustered by time."""
     return spark.read.parquet(path)
 
 
 def write_log(
     log: DataFrame,
     path: str,
-    cluster_by_time: bool = True,
+    folders: str | None = "hour",
     zstd_level: int | None = None,
     mode: str = "errorifexists",
 ) -> None:
     """Write the log as zstd Parquet.
 
-    ``cluster_by_time`` writes one folder per hour, in time order. Frames are
-    made of hours, so a frame filter then reads only its own folders; Spark
-    does not prune Parquet row groups on zone-less timestamps, whatever the
-    plan lists as pushed. The rebalance hint brings the rows of an hour
-    together in one pass over the source, and lets AQE split an hour that is
-    larger than ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` over as many
-    tasks (and files) as it needs. Without ``cluster_by_time`` rows are written
-    where they are read.
+    ``folders`` clusters it by time: one folder per ``hour`` (for frames of
+    hours) or ``day`` (for a small log over a long time), rows in time order. A
+    frame filter then reads only its own folders. Spark does not prune Parquet
+    row groups on zone-less timestamps, whatever the plan lists as pushed. The
+    rebalance hint brings the rows of a folder together in one pass over the
+    source, and lets AQE split a folder that is larger than
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` over as many tasks (and
+    files) as it needs. With None, rows are written where they are read.
     """
-    if cluster_by_time:
+    log = log.drop(HOUR, DAY)
+    if folders is not None:
+        column, key = FOLDERS[folders]
         log = (
-            log.withColumn(HOUR, hour_key("timestamp"))
-            .hint("rebalance", F.col(HOUR))
-            .sortWithinPartitions(HOUR, "timestamp")
+            log.withColumn(column, key("timestamp"))
+            .hint("rebalance", F.col(column))
+            .sortWithinPartitions(column, "timestamp")
         )
     writer = log.write.mode(mode).option("compression", "zstd")
     if zstd_level is not None:
         writer = writer.option("parquet.compression.codec.zstd.level", str(zstd_level))
-    if HOUR in log.columns:
-        writer = writer.partitionBy(HOUR)
+    if folders is not None:
+        writer = writer.partitionBy(column)
     writer.parquet(path)

@@ -2,8 +2,9 @@
 
 from pyspark.sql import types as T
 
-# Folder column of a time-clustered clean log: the hour as an int, 2022040112.
+# Folder columns of a time-clustered clean log, ints such as 2022040112 and 20220401.
 HOUR = "placed_hour"
+DAY = "placed_day"
 
 # All text: inferred types would turn an all-digit user id into a number and
 # change what is hashed.

@@ -16,7 +16,7 @@ START, END = "2022-04-01 12", "2022-04-01 18"
 def log(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("plans") / "log")
     rows = [(i % 5, i * 60, "#000000", i % 3, i % 4) for i in range(300)]
-    px.write_log(make_log(spark, rows), path, cluster_by_time=False)
+    px.write_log(make_log(spark, rows), path, folders=None)
     return px.read_log(spark, path)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import pixeltide as px
 from helpers import make_log, plan, rows_of
-from pixeltide.sources.schema import CLEAN, HOUR
+from pixeltide.sources.schema import CLEAN, DAY, HOUR
 from pixeltide.sources.shared_folder import fresh_path
 
 LINES = """timestamp,user_id,pixel_color,coordinate
@@ -66,13 +66,13 @@ def sample(spark):
     return make_log(spark, rows + [(1, None, "#FFFFFF", 0, 0)])
 
 
-@pytest.mark.parametrize("clustered", [True, False])
-def test_log_survives_writing(spark, tmp_path, clustered):
+@pytest.mark.parametrize("folders, column", [("hour", HOUR), ("day", DAY), (None, None)])
+def test_log_survives_writing(spark, tmp_path, folders, column):
     path = str(tmp_path / "log")
-    px.write_log(sample(spark), path, cluster_by_time=clustered, zstd_level=5)
+    px.write_log(sample(spark), path, folders, zstd_level=5)
     back = px.read_log(spark, path)
     assert rows_of(back, *CLEAN.fieldNames()) == rows_of(sample(spark))
-    assert (HOUR in back.columns) == clustered
+    assert set(back.columns) - set(CLEAN.fieldNames()) == ({column} if column else set())
     with pytest.raises(Exception, match="(?i)exists"):
         px.write_log(sample(spark), path)
 
@@ -80,9 +80,9 @@ def test_log_survives_writing(spark, tmp_path, clustered):
 def test_clustered_log_is_written_again_from_itself(spark, tmp_path):
     first, second = str(tmp_path / "one"), str(tmp_path / "two")
     px.write_log(sample(spark), first)
-    px.write_log(px.read_log(spark, first), second, cluster_by_time=False)
+    px.write_log(px.read_log(spark, first), second, folders=None)
     again = px.read_log(spark, second)
-    assert rows_of(again, *CLEAN.fieldNames()) == rows_of(sample(spark))
+    assert rows_of(again) == rows_of(sample(spark))
 
 
 def test_frames_read_only_their_hours(spark, tmp_path):
@@ -125,9 +125,10 @@ def test_a_hot_hour_is_written_by_several_tasks(spark, tmp_path):
     assert len(list((tmp_path / "log" / "placed_hour=2022040112").glob("*.parquet"))) > 1
 
 
-def test_operators_agree_on_clustered_and_plain_log(spark, tmp_path):
+@pytest.mark.parametrize("folders", ["hour", "day"])
+def test_operators_agree_on_clustered_and_plain_log(spark, tmp_path, folders):
     path = str(tmp_path / "log")
-    px.write_log(sample(spark), path)
+    px.write_log(sample(spark), path, folders)
     log, plain = px.read_log(spark, path), sample(spark)
     frame = "2022-04-01 13", "2022-04-01 19"
     for operator in (

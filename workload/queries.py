@@ -47,14 +47,14 @@ def csv_ingest(spark, sf_dir):
 @query
 def parquet_roundtrip(spark, sf_dir):
     path = fresh_path(spark, "clean-log")
-    px.write_log(placements(spark, sf_dir), path)
+    px.write_log(placements(spark, sf_dir), path, folders=None)
     return px.read_log(spark, path).select(*CLEAN.fieldNames())
 
 
 @query
 def frame_of_clustered_log(spark, sf_dir):
     path = fresh_path(spark, "clean-log")
-    px.write_log(placements(spark, sf_dir), path)
+    px.write_log(placements(spark, sf_dir), path, folders="day")
     return px.within_frame(px.read_log(spark, path), START, END).select(*CLEAN.fieldNames())
 
 
