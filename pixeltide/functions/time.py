@@ -64,11 +64,7 @@ def moment(value: Moment) -> Column:
 
 
 def in_frame(column: Column | str, start: Moment, end: Moment, end_inclusive: bool = False) -> Column:
-    """True inside the frame.
-
-    BETWEEN with the last moment inside the frame: a timestamp that is parsed
-    from text is then parsed once per row and not once per bound.
-    """
+    """True inside the frame: BETWEEN its start and the last moment inside."""
     first, last = as_range(start, end)
     ts = F.col(column) if isinstance(column, str) else column
     return ts.between(moment(first), moment(last_inside(last, end_inclusive)))
