@@ -182,7 +182,7 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[word] = np.array(self.encode(word.encode()), "<u4").tobytes()
+        ids = self[word] = np.array(self.encode(word), "<u4").tobytes()
         return ids
 
     def of_words(self, words: list[str]) -> bytes:
@@ -197,7 +197,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 @lru_cache(maxsize=2)
 def _word_ids(path: str) -> WordIds:
-    return WordIds(vocabulary(path).encode_word)
+    known = vocabulary(path)
+    return WordIds(lambda word: known.encode_word(word.encode()))
 
 
 def specials_pattern(special: dict[str, int]):

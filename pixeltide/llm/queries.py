@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.llm import bpe
+from pixeltide.llm import bpe, language, packing
 from pixeltide.llm.workers import on_workers
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,8 +29,28 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def held_out() -> Column:
+    """Rows from which nothing may be learned."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = language.learn(docs.where(~held_out()))
+    found = language.identify(docs.select("doc_id", "text"), samples)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE: dict[str, str] = {}

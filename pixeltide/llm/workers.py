@@ -43,3 +43,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def keys(n: int, seed: int) -> np.ndarray:
     """``n`` fixed odd 64-bit multipliers."""
     return mixed(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) | np.uint64(1)
+
+
+def slices(texts: pa.Array, limit: int = 400_000):
+    """Parts of a text column of about ``limit`` bytes each, at least one row; with the number of the first row."""
+    _, bounds = bytes_of(texts)
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + limit, "right")) - 1)
+        yield start, texts.slice(start, end - start)
+        start = end
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def word_hashes(raw: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+``, their first bytes, and the bounds of each row's words.
+
+    With ``lower``, A-Z count as a-z. Two words differ in their hash but for a
+    chance of about 2 to the power -56.
+    """
+    inside = ~_SPACE[raw]
+    before = np.zeros(len(raw), bool)
+    before[1:] = inside[:-1]
+    before[bounds[:-1][bounds[:-1] < len(raw)]] = False
+    starts = np.flatnonzero(inside & ~before)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, np.zeros(len(bounds), np.int64)
+    at = np.flatnonzero(inside)
+    first = np.searchsorted(at, starts)
+    place = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+    text = _LOWER[raw[at]] if lower else raw[at]
+    sums = np.add.reduceat((text.astype(np.uint64) + np.uint64(1)) * keys(int(place.max()) + 1, 1)[place], first)
+    return mixed(sums), starts, np.searchsorted(starts, bounds)
