@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.llm import bpe, language, near_dedup, packing
+from pixeltide.llm import bpe, language, near_dedup, packing, secrets
 from pixeltide.llm.workers import on_workers
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,11 +51,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] != "entropy")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("secrets")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE: dict[str, str] = {}
