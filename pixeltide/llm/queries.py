@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.llm import bpe, language, near_dedup, packing, secrets
+from pixeltide.llm import bpe, chat, language, near_dedup, packing, secrets
 from pixeltide.llm.workers import on_workers
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,62 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    line = F.lit("\n")
+    read = chat.examples(talks).select(
+        "conv_id",
+        "example",
+        F.length("formatted").alias("chars"),
+        chat.read_target(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("target"),
+        F.when(F.col("last"), chat.read_turns(F.col("formatted"))).alias("turns"),
+    )
+    targets = F.array_sort(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("example", "target"))))
+    whole = read.groupBy("conv_id").agg(
+        F.first("turns", ignorenulls=True).alias("turns"),
+        F.array_join(F.transform(targets, lambda t: t["target"]), "").alias("loss"),
+        F.sum("chars").alias("formatted_chars"),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], line, t["text"], line))
+    return whole.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+OP6_SQL = r"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized as (
+  select *, row_number() over (partition by conv_id order by turn desc, role desc, text desc) = 1 as last,
+    sum(length(regexp_replace(replace(text, '\', '\\'), '([\[<])(/?(INST\]|SYS\]|BOT\]|ROLE\]|SAYS\]|s>))', '\1\\\2', 'g'))
+        + case role when 'user' then 15 when 'assistant' then 11 when 'system' then 13
+                    else 23 + length(regexp_replace(replace(role, '\', '\\'), '([\[<])(/?(INST\]|SYS\]|BOT\]|ROLE\]|SAYS\]|s>))', '\1\\\2', 'g')) end)
+      over (partition by conv_id order by turn, role, text rows unbounded preceding) as chars
+  from said
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) filter (where last or role = 'assistant') as bigint) as formatted_chars
+from sized group by conv_id
+"""
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
@@ -66,9 +122,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_chat_examples": op6_chat_examples,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_chat_examples": OP6_SQL,
+}
