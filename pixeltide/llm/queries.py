@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.llm import bpe, chat, language, near_dedup, packing, secrets
+from pixeltide.llm import bpe, chat, language, near_dedup, packing, quality, secrets
 from pixeltide.llm.workers import on_workers
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """Rows from which nothing may be learned."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+
+
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -89,17 +94,19 @@ from sized group by conv_id
 """
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = docs.select("doc_id", held_out().alias("held_out"), quality.score(F.col("text"), field).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
 
-def held_out() -> Column:
-    """Rows from which nothing may be learned."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-
-
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     samples = language.learn(docs.where(~held_out()))
@@ -123,6 +130,7 @@ QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_chat_examples": op6_chat_examples,
+    "op7_quality": op7_quality,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
