@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.llm import bpe, chat, language, near_dedup, packing, quality, secrets
+from pixeltide.llm import bpe, chat, fingerprints, language, near_dedup, packing, quality, secrets
 from pixeltide.llm.workers import on_workers
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,32 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    size = F.length("text")
+    half = F.floor(size / 2).cast("int")
+    edited = docs.withColumn(
+        "edited", F.concat(F.substr("text", F.lit(1), size - half), F.substr("next_text", F.lit(1), half))
+    )
+    printed = edited.select(
+        "doc_id",
+        size.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.fingerprint(F.col("text")).alias("fingerprint"),
+        fingerprints.fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        fingerprints.fingerprint(F.col("next_text")).alias("next_fingerprint"),
+    )
+    return printed.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     encoded = docs.select("doc_id", bpe.encode(F.col("text"), BYTE_BPE).alias("ids"))
@@ -128,6 +154,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op4_fingerprints": op4_fingerprints,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_chat_examples": op6_chat_examples,
     "op7_quality": op7_quality,
