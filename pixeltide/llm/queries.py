@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.llm import bpe, chat, fingerprints, language, near_dedup, packing, quality, secrets
+from pixeltide.llm import bpe, chat, exact_search, fingerprints, language, near_dedup, packing, quality, secrets
 from pixeltide.llm.workers import on_workers
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,26 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return exact_search.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP2_SQL = """
+with codes as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  from codes q join codes c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+)
+select query_id, cast(rank as integer) as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+) where rank <= 5
+"""
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fingerprints.with_next(table(spark, sf_dir, "documents"))
     size = F.length("text")
@@ -154,6 +174,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_exact_top_k": op2_exact_top_k,
     "op4_fingerprints": op4_fingerprints,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_chat_examples": op6_chat_examples,
@@ -164,5 +185,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_exact_top_k": OP2_SQL,
     "op6_chat_examples": OP6_SQL,
 }
