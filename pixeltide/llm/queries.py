@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.llm import bpe, chat, exact_search, fingerprints, language, near_dedup, packing, quality, secrets
+from pixeltide.llm import bpe, chat, exact_search, fingerprints, language, near_dedup, packing, quality, secrets, warc
 from pixeltide.llm.workers import on_workers
+from pixeltide.sources.shared_folder import drop, fresh_path, stored
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -46,6 +47,53 @@ select query_id, cast(rank as integer) as rank, vec_id, score from (
 """
 
 
+def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two archives of all pages; in the second, one page of 97 has a wrong first byte and one of 89 is blanked out."""
+    pages = table(spark, sf_dir, "pages").where("page_id is not null")
+    whole = F.coalesce("html", F.lit(""))
+    rotten = (
+        F.when((F.col("page_id") % 97 == 13) & whole.startswith("<"), F.concat(F.lit("#"), F.substr(whole, F.lit(2))))
+        .when(F.col("page_id") % 89 == 7, F.repeat(F.lit("0"), F.octet_length(whole)))
+        .otherwise(whole)
+    )
+    leaves = []
+    for html in (whole, rotten):
+        records = pages.select(
+            F.expr("page_id div 1000").alias("file"),
+            F.col("page_id").alias("place"),
+            warc.record(F.concat(F.lit("urn:page:"), F.col("page_id")), F.col("url"), html, "2024-01-01T00:00:00Z").alias("record"),
+        )
+        path = fresh_path(spark, "warc")
+        warc.write_warc(records, path)
+        leaves.append(stored(warc.read_leaves(spark, path), "leaves"))
+        drop(spark, path)
+    return warc.audit(*leaves)
+
+
+OP3_SQL = """
+with pages_ as (
+  select page_id, page_id // 1000 as file, coalesce(html, '') as html,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+      || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+      || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: '
+      || regexp_replace(coalesce(url, ''), '[\r\n]', ' ', 'g') || chr(13) || chr(10)
+      || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+      || chr(13) || chr(10) || chr(13) || chr(10) as head
+  from pages where page_id is not null
+), placed as (
+  select *, head || html as record, strlen(head || html) as length,
+    coalesce(sum(strlen(head || html) + 4) over
+      (partition by file order by page_id rows between unbounded preceding and 1 preceding), 0) as "offset",
+    head || case when page_id % 97 = 13 and html like '<%' then '#' || substr(html, 2)
+                 when page_id % 89 = 7 then repeat('0', strlen(html)) else html end as copy
+  from pages_
+)
+select file, cast("offset" as bigint) as "offset", 'urn:page:' || page_id as record_id, length,
+  sha256(record) as digest, sha256(copy) as found
+from placed where record <> copy
+"""
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fingerprints.with_next(table(spark, sf_dir, "documents"))
     size = F.length("text")
@@ -175,6 +223,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_warc_audit": op3_warc_audit,
     "op4_fingerprints": op4_fingerprints,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_chat_examples": op6_chat_examples,
@@ -186,5 +235,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op2_exact_top_k": OP2_SQL,
+    "op3_warc_audit": OP3_SQL,
     "op6_chat_examples": OP6_SQL,
 }
