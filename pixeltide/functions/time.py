@@ -70,6 +70,24 @@ def in_frame(column: Column | str, start: Moment, end: Moment, end_inclusive: bo
     return ts.between(moment(first), moment(last_inside(last, end_inclusive)))
 
 
+def in_frame_once(
+    column: Column | str, start: Moment, end: Moment, end_inclusive: bool = False
+) -> Column:
+    """``in_frame`` as one comparison that mentions the time once; false for NULL.
+
+    For a time that is parsed from text, which a plain range would parse again
+    for each bound, and again to see that it is not NULL. Twice the distance
+    from the start, less the length, is no more than the length on either side
+    of zero: exact for any number of microseconds. It cannot be pushed to a
+    Parquet scan, so stored times keep the plain range.
+    """
+    first, last = as_range(start, end)
+    length = last_inside(last, end_inclusive) - first
+    ts = F.col(column) if isinstance(column, str) else column
+    inside = F.abs((ts - moment(first)) * 2 - F.lit(length)) <= F.lit(length)
+    return F.coalesce(inside, F.lit(False))
+
+
 def day_key(column: Column | str) -> Column:
     """The day of a timestamp as an int such as 20220401."""
     ts = F.col(column) if isinstance(column, str) else column
@@ -82,13 +100,39 @@ def hour_key(column: Column | str) -> Column:
     return day_key(ts) * 100 + F.hour(ts)
 
 
-def parse_timestamp(text: Column | str, strict: bool = False) -> Column:
+# The accepted text forms of a timestamp, without and with offsets.
+_PLAIN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?"
+UTC_FORM = _PLAIN + " UTC$"
+OFFSET_FORM = _PLAIN + " ?(UTC|Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
+def parse_timestamp(text: Column | str, strict: bool = False, offsets: bool = False) -> Column:
     """Text such as ``2022-04-01 12:00:00.123 UTC`` as TIMESTAMP_NTZ.
 
-    The fraction is optional. Junk becomes NULL, or an error when ``strict``.
+    The fraction is optional and has 1 to 6 digits. Any other shape (a bare
+    date, a year, no zone) becomes NULL, or an error when ``strict``. With ``offsets``,
+    ``Z`` or an offset such as ``+02:00`` may stand in place of UTC and is
+    converted to UTC; without, such text is junk.
     """
     column = F.col(text) if isinstance(text, str) else text
-    return column.cast("timestamp_ntz") if strict else column.try_cast("timestamp_ntz")
+    if not offsets:
+        shaped = F.when(column.rlike(UTC_FORM), F.regexp_replace(column, " UTC$", ""))
+        if strict:  # text of another shape is left as it is, which no cast accepts
+            return F.when(column.isNotNull(), F.coalesce(shaped, F.concat(F.lit("not UTC: "), column))).cast("timestamp_ntz")
+        return shaped.try_cast("timestamp_ntz")
+    shaped = F.when(column.rlike(OFFSET_FORM), F.substring(column, 1, 19))
+    fraction = F.rpad(F.regexp_extract(column, r"[.]([0-9]{1,6})", 1), 6, "0").try_cast("int")
+    sign = F.when(F.regexp_extract(column, "([+-])[0-9]{2}:?[0-9]{2}$", 1) == "-", -1).otherwise(1)
+    hours, minutes = (
+        F.coalesce(F.regexp_extract(column, "[+-]([0-9]{2}):?([0-9]{2})$", k).try_cast("int"), F.lit(0)) * sign
+        for k in (1, 2)
+    )
+    if strict:
+        shaped = F.when(column.isNotNull(), F.coalesce(shaped, F.concat(F.lit("no timestamp: "), column)))
+    whole = shaped.cast("timestamp_ntz") if strict else shaped.try_cast("timestamp_ntz")
+    zone = F.regexp_extract(column, "([+-][0-9]{2}:?[0-9]{2})$", 1) != ""
+    moved = F.when(zone & shaped.isNotNull(), F.make_dt_interval(hours=hours, mins=minutes)).otherwise(F.make_dt_interval())
+    return whole - moved + F.make_dt_interval(secs=(fraction / F.lit(1000000)).cast("decimal(18,6)"))
 
 
 def seconds_between(start: Column | str, end: Column | str) -> Column:

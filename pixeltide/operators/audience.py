@@ -12,6 +12,55 @@ from pixeltide.functions.time import Moment, as_range, moment
 from pixeltide.operators.filters import until, within_frame
 
 
+PERCENTAGES = (0.50, 0.75, 0.90, 0.99)
+
+#: Leading characters of a colour code that split the numbering.
+PREFIX = 4
+
+
+def ranked_colors(per_color: DataFrame) -> DataFrame:
+    """Rank, code, name and users of ``per_color(pixel_color, distinct_users)``, most users first, then by code.
+
+    A dirty log may hold any number of codes, so they are not numbered in one
+    task: a histogram over (users, first characters of the code) gives what
+    comes before each group, and codes are numbered within their group.
+    """
+    prefix = F.substring(F.coalesce("pixel_color", F.lit("")), 1, PREFIX)
+    # NULL sorts before all codes, as in an ORDER BY.
+    grouped = per_color.withColumn("prefix", prefix)
+    before = Window.orderBy(F.desc("distinct_users"), "prefix").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        grouped.groupBy("distinct_users", "prefix")
+        .agg(F.count("*").alias("codes"))
+        .select("distinct_users", "prefix", F.coalesce(F.sum("codes").over(before), F.lit(0)).alias("offset"))
+    )
+    within = Window.partitionBy("distinct_users", "prefix").orderBy("pixel_color")
+    numbered = grouped.withColumn("number", F.row_number().over(within)).join(offsets, ["distinct_users", "prefix"])
+    return with_color_names(numbered).select(
+        (F.col("offset") + F.col("number")).cast("int").alias("rank"), "pixel_color", "color", "distinct_users"
+    )
+
+
+def percentiles_of(per_user: DataFrame, percentages: Sequence[float]) -> DataFrame:
+    """Exact percentiles, linearly interpolated, of ``per_user(n)``.
+
+    Users are first folded into a histogram (how many users have n), so the
+    last task sees one row per distinct n and not one per user.
+    """
+    histogram = per_user.groupBy("n").agg(F.count("*").alias("users"))
+    wanted = F.array(*[F.lit(float(p)) for p in percentages])
+    values = histogram.agg(F.percentile("n", wanted, F.col("users")).alias("values"))
+    rows = [
+        F.struct(
+            F.lit(float(p)).alias("percentile"),
+            F.col("values")[i].alias("placements"),
+            F.col("values")[i].cast("int").alias("whole_placements"),
+        )
+        for i, p in enumerate(percentages)
+    ]
+    return values.select(F.inline(F.array(*rows)))
+
+
 def rank_colors_by_distinct_users(
     log: DataFrame,
     start: Moment,
@@ -22,18 +71,14 @@ def rank_colors_by_distinct_users(
 
     Grouped by code, so the two codes named "Dark cyan 2" stay apart. The exact
     distinct count first shuffles (colour, user) pairs, which spreads a dominant
-    colour over all tasks. Only the table of one row per colour is numbered in
-    one task.
+    colour over all tasks.
     """
     per_color = (
         within_frame(log, start, end, end_inclusive)
         .groupBy("pixel_color")
         .agg(F.count_distinct("user_id_hashed").alias("distinct_users"))
     )
-    by_users = Window.orderBy(F.desc("distinct_users"), "pixel_color")
-    return with_color_names(per_color).select(
-        F.row_number().over(by_users).alias("rank"), "pixel_color", "color", "distinct_users"
-    )
+    return ranked_colors(per_color)
 
 
 def count_first_time_users(
@@ -63,29 +108,13 @@ def placement_percentiles(
     log: DataFrame,
     start: Moment,
     end: Moment,
-    percentages: Sequence[float] = (0.50, 0.75, 0.90, 0.99),
+    percentages: Sequence[float] = PERCENTAGES,
     end_inclusive: bool = True,
 ) -> DataFrame:
-    """Exact percentiles, linearly interpolated, of the placements per user.
-
-    One row per percentage. Users are first folded into a histogram (how many
-    users placed n pixels), so the last task sees one row per distinct n and
-    not one per user.
-    """
+    """Exact percentiles, linearly interpolated, of the placements per user, one row per percentage."""
     per_user = (
         within_frame(log, start, end, end_inclusive)
         .groupBy("user_id_hashed")
         .agg(F.count("*").alias("n"))
     )
-    histogram = per_user.groupBy("n").agg(F.count("*").alias("users"))
-    wanted = F.array(*[F.lit(float(p)) for p in percentages])
-    values = histogram.agg(F.percentile("n", wanted, F.col("users")).alias("values"))
-    rows = [
-        F.struct(
-            F.lit(float(p)).alias("percentile"),
-            F.col("values")[i].alias("placements"),
-            F.col("values")[i].cast("int").alias("whole_placements"),
-        )
-        for i, p in enumerate(percentages)
-    ]
-    return values.select(F.inline(F.array(*rows)))
+    return percentiles_of(per_user, percentages)

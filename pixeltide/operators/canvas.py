@@ -20,7 +20,8 @@ def final_cells(placements: DataFrame, policy: str = "latest") -> DataFrame:
     """The colour that each painted cell ends up with.
 
     ``latest`` keeps the last placement, ``earliest`` the first. At one instant
-    the larger (or smaller) code wins.
+    the larger (or smaller) code wins. Placements without time or colour win
+    no cell.
 
     Time is first taken per (cell, colour), a hash aggregate on fixed-width
     buffers that is combined before the shuffle. What remains, at most one row
@@ -30,7 +31,7 @@ def final_cells(placements: DataFrame, policy: str = "latest") -> DataFrame:
         raise ValueError(f"policy must be latest or earliest: {policy}")
     pick = F.max if policy == "latest" else F.min
     per_color = (
-        placements.filter(F.col("pixel_color").isNotNull())
+        placements.filter(F.col("pixel_color").isNotNull() & F.col("timestamp").isNotNull())
         .groupBy("x", "y", "pixel_color")
         .agg(pick("timestamp").alias("timestamp"))
     )
@@ -79,6 +80,7 @@ def dense_grid(
 ) -> DataFrame:
     """Every cell of a width x height grid; ``background`` where nothing was painted.
 
+    The grid is a viewport: painted cells outside it are not shown.
     The grid comes from one numbered range, cut into x and y.
     """
     grid = cells.sparkSession.range(width * height).select(
@@ -102,12 +104,21 @@ def user_canvas(
     height: int = 2000,
     policy: str = "earliest",
     background: str = WHITE,
+    clip: bool = False,
 ) -> DataFrame:
     """The whole canvas with only what the given users painted, one row per cell.
 
-    The default keeps each cell's first placement by these users.
+    The default keeps each cell's first placement by these users. A placement
+    outside the canvas is an error, found while the rows are read; ``clip`` cuts
+    such placements off instead. Placements without a cell (a NULL coordinate)
+    are on no canvas.
     """
-    painted = user_positions(log, users).filter(
-        F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
-    )
+    painted = user_positions(log, users)
+    inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
+    if clip:
+        painted = painted.filter(inside)
+    else:
+        outside = F.concat_ws(",", F.lit("outside the canvas:"), "x", "y")
+        known = painted.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+        painted = known.withColumn("x", F.when(inside, F.col("x")).otherwise(F.raise_error(outside)))
     return dense_grid(final_cells(painted, policy), 0, 0, width, height, background)

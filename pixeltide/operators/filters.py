@@ -8,17 +8,19 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.functions.time import Moment, as_moment, as_range, in_frame, last_inside, moment
-from pixeltide.sources.schema import DAY, HOUR
+from pixeltide.functions.time import Moment, as_moment, as_range, in_frame, in_frame_once, last_inside, moment
+from pixeltide.sources.schema import DAY, FOLDER_MARK, HOUR, PARSED_MARK
 
 FOLDER_FORMATS = {HOUR: "%Y%m%d%H", DAY: "%Y%m%d"}
 
 
 def within_frame(log: DataFrame, start: Moment, end: Moment, end_inclusive: bool = False) -> DataFrame:
-    """The placements of a frame, read from its own folders only if the log has them."""
+    """The placements of a frame, read from its own folders only if ``read_log`` found them."""
     first, last = as_range(start, end)
     last = last_inside(last, end_inclusive)
-    rows = log.filter(in_frame("timestamp", start, end, end_inclusive))
+    parsed = PARSED_MARK in log.schema["timestamp"].metadata
+    inside = in_frame_once if parsed else in_frame
+    rows = log.filter(inside("timestamp", start, end, end_inclusive))
     for column in _folders(log):
         rows = rows.filter(F.col(column).between(_number(column, first), _number(column, last)))
     return rows
@@ -34,7 +36,12 @@ def until(log: DataFrame, end: Moment, end_inclusive: bool = True) -> DataFrame:
 
 
 def _folders(log: DataFrame) -> list[str]:
-    return [column for column in FOLDER_FORMATS if column in log.columns]
+    made_from_it = log.schema["timestamp"].metadata.get(FOLDER_MARK)
+    return [
+        column
+        for column in FOLDER_FORMATS
+        if column == made_from_it and column in log.columns and log.schema[column].metadata.get(FOLDER_MARK) == column
+    ]
 
 
 def _number(column: str, at: datetime) -> int:

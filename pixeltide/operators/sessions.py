@@ -4,11 +4,18 @@ All placements of a user that fall into one tumbling window as wide as the gap
 are less than a gap apart, so they belong to one session. The log is therefore
 first folded into one row per (user, window), which Spark combines before the
 shuffle, and only these rows are put in order per user. However many placements
-a user has, the ordered step sees at most (time span / gap) rows of that user.
+a user has, the ordered step sees at most (time span / gap) rows of that user;
+a gap of a few seconds over a long time weakens that bound.
+
+A NULL user is a user like any other in all operators here. Placements without
+time are in no session.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +25,26 @@ from pixeltide.operators.filters import within_frame
 GAP_SECONDS = 900
 
 
-def _slot(gap_seconds: int) -> Column:
-    return F.window("timestamp", f"{int(gap_seconds)} seconds")["start"]
+def _whole(gap_seconds: int) -> int:
+    if isinstance(gap_seconds, bool) or gap_seconds != int(gap_seconds) or gap_seconds <= 0:
+        raise ValueError(f"the gap must be a whole number of seconds above 0: {gap_seconds}")
+    return int(gap_seconds)
 
 
-def _numbered_slots(log: DataFrame, gap_seconds: int) -> DataFrame:
-    """One row per user and window: first, last, count, and the session it is part of."""
-    slots = (
-        log.select("user_id_hashed", "timestamp", _slot(gap_seconds).alias("slot"))
+def session_slot(gap_seconds: int) -> Column:
+    """Start of the tumbling window, as wide as the gap, that a placement lies in."""
+    return F.window("timestamp", f"{_whole(gap_seconds)} seconds")["start"]
+
+
+def _same_user_and(log: DataFrame, other: DataFrame, *keys: str) -> Column:
+    """Join condition in which a NULL user equals a NULL user; Spark hashes and sorts by it as by plain keys."""
+    return reduce(and_, (log[key].eqNullSafe(other[f"{key}_"]) for key in ("user_id_hashed", *keys)))
+
+
+def _folded(log: DataFrame, gap_seconds: int) -> DataFrame:
+    """One row per user and window: first, last and count."""
+    return (
+        log.select("user_id_hashed", "timestamp", session_slot(gap_seconds).alias("slot"))
         .groupBy("user_id_hashed", "slot")
         .agg(
             F.min("timestamp").alias("first_placed"),
@@ -33,22 +52,23 @@ def _numbered_slots(log: DataFrame, gap_seconds: int) -> DataFrame:
             F.count("*").alias("placements"),
         )
     )
+
+
+def _numbered(slots: DataFrame, gap_seconds: int) -> DataFrame:
+    """Folded rows with the session each is part of."""
     by_user = Window.partitionBy("user_id_hashed").orderBy("first_placed")
     previous = F.lag("last_placed").over(by_user)
-    gap = F.make_dt_interval(secs=F.lit(int(gap_seconds)))
+    gap = F.make_dt_interval(secs=F.lit(_whole(gap_seconds)))
     starts = previous.isNull() | (F.col("first_placed") - previous > gap)
     return slots.withColumn("new_session", F.when(starts, 1).otherwise(0)).withColumn(
         "session_id", F.sum("new_session").over(by_user)
     )
 
 
-def sessionize(log: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
-    """One row per session, numbered from 1 per user.
-
-    A pause of exactly the gap continues the session; a longer one ends it.
-    """
+def sessions_of(slots: DataFrame, gap_seconds: int) -> DataFrame:
+    """One row per session of folded rows (user, slot, first_placed, last_placed, placements)."""
     return (
-        _numbered_slots(log, gap_seconds)
+        _numbered(slots, gap_seconds)
         .groupBy("user_id_hashed", "session_id")
         .agg(
             F.min("first_placed").alias("session_start"),
@@ -59,37 +79,66 @@ def sessionize(log: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
     )
 
 
+def average_of(sessions: DataFrame) -> DataFrame:
+    """Average seconds and number of the sessions with more than one placement."""
+    return sessions.filter("placements > 1").agg(
+        F.avg("session_seconds").alias("avg_session_seconds"), F.count("*").alias("sessions")
+    )
+
+
+def sessionize(log: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
+    """One row per session, numbered from 1 per user.
+
+    A pause of exactly the gap continues the session; a longer one ends it.
+    """
+    return sessions_of(_folded(log, gap_seconds), gap_seconds)
+
+
 def session_flags(log: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
     """One row per user and instant: how many placements, and does a session start there.
 
     Placements of a user at one instant are peers, of which one starts the
-    session; they are folded into ``placements``. Grouping and join use the same
-    key, so the log is shuffled once, after folding.
+    session; they are folded into ``placements``. The windows are folded from
+    these rows, so the log is read and shuffled once; the shuffle's result
+    serves both sides of the join.
     """
-    instants = log.groupBy("user_id_hashed", "timestamp").agg(F.count("*").alias("placements"))
+    instants = (
+        log.filter(F.col("timestamp").isNotNull())
+        .groupBy("user_id_hashed", "timestamp")
+        .agg(F.count("*").alias("placements"))
+    )
+    slots = (
+        instants.withColumn("slot", session_slot(gap_seconds))
+        .groupBy("user_id_hashed", "slot")
+        .agg(
+            F.min("timestamp").alias("first_placed"),
+            F.max("timestamp").alias("last_placed"),
+            F.sum("placements").alias("placements"),
+        )
+    )
     starts = (
-        _numbered_slots(log, gap_seconds)
-        .filter("new_session = 1")
-        .select("user_id_hashed", F.col("first_placed").alias("timestamp"), "new_session")
+        _numbered(slots, gap_seconds)
+        .filter("new_session = 1 and placements > 0")
+        .select(F.col("user_id_hashed").alias("user_id_hashed_"), F.col("first_placed").alias("timestamp_"), "new_session")
     )
-    return (
-        instants.filter(F.col("timestamp").isNotNull())
-        .join(starts, ["user_id_hashed", "timestamp"], "left")
-        .withColumn("new_session", F.coalesce("new_session", F.lit(0)))
+    return instants.join(starts, _same_user_and(instants, starts, "timestamp"), "left").select(
+        "user_id_hashed", "timestamp", "placements", F.coalesce("new_session", F.lit(0)).alias("new_session")
     )
 
 
 def session_assignments(log: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
-    """Every placement with the number of its session.
+    """Every placement that has a time, with the number of its session.
 
-    An equi-join on (user, window): a busy user is spread over that user's
+    A join on (user, window): a busy user is spread over that user's
     windows, and Spark splits a window that is still too big (AQE skew join).
+    That takes a second scan of the log.
     """
-    slots = _numbered_slots(log, gap_seconds).select("user_id_hashed", "slot", "session_id")
-    return (
-        log.withColumn("slot", _slot(gap_seconds))
-        .join(slots, ["user_id_hashed", "slot"])
-        .select(*log.columns, "session_id")
+    slots = _numbered(_folded(log, gap_seconds), gap_seconds).select(
+        F.col("user_id_hashed").alias("user_id_hashed_"), F.col("slot").alias("slot_"), "session_id"
+    )
+    dealt = log.withColumn("slot", session_slot(gap_seconds))
+    return dealt.join(slots, _same_user_and(dealt, slots, "slot")).select(
+        *(dealt[c] for c in log.columns), "session_id"
     )
 
 
@@ -111,6 +160,4 @@ def average_session_length(
     part inside.
     """
     inside = within_frame(log, start, end, end_inclusive)
-    return session_durations(inside, gap_seconds).agg(
-        F.avg("session_seconds").alias("avg_session_seconds"), F.count("*").alias("sessions")
-    )
+    return average_of(sessionize(inside, gap_seconds))

@@ -8,12 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixeltide.functions.time import Moment
-from pixeltide.operators.audience import (
-    count_first_time_users,
-    placement_percentiles,
-    rank_colors_by_distinct_users,
-)
-from pixeltide.operators.sessions import GAP_SECONDS, average_session_length
+from pixeltide.operators.audience import PERCENTAGES, count_first_time_users, percentiles_of, ranked_colors
+from pixeltide.operators.filters import within_frame
+from pixeltide.operators.sessions import GAP_SECONDS, average_of, session_slot, sessions_of
 
 
 class FrameReport(NamedTuple):
@@ -59,13 +56,34 @@ def frame_report(
 ) -> FrameReport:
     """Colours by users, average session, percentiles and first-time users of the frame.
 
-    Nothing is cached: each answer reads only its own columns of the row groups
-    inside the frame, which is cheaper than holding the frame of a large log in
-    executor memory. Pass a persisted ``log`` to share it all the same.
+    The frame is folded once, to one row per user, session window and colour;
+    colours, sessions and percentiles all follow from that table, so a plan that
+    needs them all (``as_table``) reads the log twice: once for the frame, once
+    for the history of first-time users. Nothing is cached: the answers share
+    the shuffle of the folded rows. That needs the same columns in each of
+    them, hence the filter, which keeps all and lets none be pruned.
     """
+    folded = (
+        within_frame(log, start, end, end_inclusive=True)
+        .withColumn("slot", session_slot(gap_seconds))
+        .groupBy("user_id_hashed", "slot", "pixel_color")
+        .agg(
+            F.min("timestamp").alias("first_placed"),
+            F.max("timestamp").alias("last_placed"),
+            F.count("*").alias("placements"),
+        )
+        .filter("placements > 0 and first_placed <= last_placed")
+    )
+    per_color = folded.groupBy("pixel_color").agg(F.count_distinct("user_id_hashed").alias("distinct_users"))
+    per_user = folded.groupBy("user_id_hashed").agg(F.sum("placements").alias("n"))
+    slots = folded.groupBy("user_id_hashed", "slot").agg(
+        F.min("first_placed").alias("first_placed"),
+        F.max("last_placed").alias("last_placed"),
+        F.sum("placements").alias("placements"),
+    )
     return FrameReport(
-        rank_colors_by_distinct_users(log, start, end),
-        average_session_length(log, start, end, gap_seconds),
-        placement_percentiles(log, start, end),
+        ranked_colors(per_color),
+        average_of(sessions_of(slots, gap_seconds)),
+        percentiles_of(per_user, PERCENTAGES),
         count_first_time_users(log, start, end),
     )

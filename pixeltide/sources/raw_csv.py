@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pixeltide.functions.coordinate import split_coordinate
 from pixeltide.functions.time import parse_timestamp
-from pixeltide.sources.schema import RAW
+from pixeltide.sources.schema import PARSED_MARK, RAW
 
 
 def read_raw_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -28,7 +28,8 @@ def timed_raw_log(raw: DataFrame, strict_timestamps: bool = False) -> DataFrame:
     For frame questions straight from CSV: a four-part coordinate stays a key
     of its own here, while ``clean_log`` cuts it to its first two parts.
     """
-    return raw.withColumn("timestamp", parse_timestamp("timestamp", strict_timestamps))
+    parsed = parse_timestamp("timestamp", strict_timestamps)
+    return raw.withColumn("timestamp", parsed.alias("timestamp", metadata={PARSED_MARK: True}))
 
 
 def clean_log(

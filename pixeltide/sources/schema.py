@@ -6,6 +6,11 @@ from pyspark.sql import types as T
 HOUR = "placed_hour"
 DAY = "placed_day"
 
+# Column metadata. FOLDER_MARK names the folder column that was made from a
+# timestamp; PARSED_MARK says that a timestamp is parsed from text when read.
+FOLDER_MARK = "pixeltide.folder"
+PARSED_MARK = "pixeltide.parsed"
+
 # All text: inferred types would turn an all-digit user id into a number and
 # change what is hashed.
 RAW = T.StructType(

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from pixeltide.sources.shared_folder import drop_all  # noqa: E402
+
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -18,12 +21,14 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.maxMetadataStringLength", "2000")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pixeltide-tests-"))
         # Not UTC on purpose: no result may depend on the session zone.
         .config("spark.sql.session.timeZone", "America/New_York")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_all(session)
     session.stop()
 
 

@@ -58,7 +58,7 @@ def test_dense_grid(spark):
 def test_user_canvas_is_white_and_keeps_the_first(spark):
     log = make_log(
         spark,
-        [(1, 1, RED, 0, 0), (1, 2, BLUE, 0, 0), (2, 0, BLUE, 0, 0), (2, 0, BLUE, 1, 1), (1, 3, RED, 9, 9)],
+        [(1, 1, RED, 0, 0), (1, 2, BLUE, 0, 0), (2, 0, BLUE, 0, 0), (2, 0, BLUE, 1, 1), (1, 3, RED, None, 1)],
     )
     busiest = px.top_users(log, 1)
     canvas = rows_of(px.user_canvas(log, busiest, 2, 2), "x", "y", "pixel_color")
@@ -77,3 +77,17 @@ def test_palette(spark):
     names = {r.pixel_color: r.color for r in px.color_names_table(spark).collect()}
     assert len(names) == 32 and len(set(names.values())) == 31
     assert names["#E4ABFF"] == "Pale violet"
+
+
+def test_a_placement_outside_the_canvas_is_an_error_unless_clipped(spark):
+    log = make_log(spark, [(1, 1, RED, 0, 0), (1, 2, BLUE, 2500, 0)])
+    with pytest.raises(Exception, match="outside the canvas: ?,?2500,0"):
+        px.user_canvas(log, [1]).collect()
+    clipped = px.user_canvas(log, [1], 2, 1, clip=True)
+    assert rows_of(clipped, "x", "y", "pixel_color") == [(0, 0, RED), (1, 0, W)]
+
+
+def test_a_placement_without_time_wins_no_cell(spark):
+    log = make_log(spark, [(1, None, W, 0, 0), (1, 5, "#000000", 0, 0), (1, None, RED, 1, 1)])
+    for policy in ("earliest", "latest"):
+        assert rows_of(px.final_cells(log, policy)) == [(0, 0, "#000000")]

@@ -4,10 +4,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
 import pixeltide as px
 from helpers import final_plan, make_log, plan
 from pixeltide.sources.schema import CLEAN
+from workload.queries import QUERIES
 
 START, END = "2022-04-01 12", "2022-04-01 18"
 
@@ -24,11 +24,80 @@ def exchanges(text):
     return len(re.findall(r"(?<!Broadcast)\bExchange ", text))
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+def windows_over_everything(text):
+    """What feeds each window that has all rows in one task."""
+    found = re.findall(r"Window \[[^\n]*\n[^\n]*Sort [^\n]*\n[^\n]*Exchange SinglePartition[^\n]*\n([^\n]*)", text)
+    return [re.sub(r"^[\s:+-]*(?:\*\(\d+\) )?", "", line) for line in found]
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_no_cross_join_no_row_window_over_everything(spark, sf_dir, name):
-    text = plan(contract.queries()[name](spark, sf_dir))
+    text = plan(QUERIES[name](spark, sf_dir))
     for node in ("Python", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin", "Scan ExistingRDD"):
         assert node not in text, node
+    for below in windows_over_everything(text):
+        # Only the histogram of the colour ranking: one row per (users, prefix).
+        assert name in ("rank_colors", "frame_report")
+        assert below.startswith("HashAggregate(keys=[distinct_users") and "prefix" in below, below
+
+
+def test_the_window_check_sees_a_window(log):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    bad = log.select(F.row_number().over(Window.orderBy("timestamp")))
+    assert len(windows_over_everything(plan(bad))) == 1
+
+
+def scans(text):
+    """File scans that run: the last plan, without what is reused."""
+    final = text[text.index("== Final Plan ==") : text.index("== Initial Plan ==")] if "== Initial" in text else text
+    return len(re.findall("FileScan", final))
+
+
+def test_costly_queries_read_the_log_no_more_than_needed(spark, sf_dir):
+    for name, most in (("frame_report", 2), ("session_flags", 1), ("timeframe_summary", 1), ("session_assignments", 2)):
+        text = final_plan(QUERIES[name](spark, sf_dir))
+        assert scans(text) == most, name
+
+
+def test_a_text_timestamp_is_parsed_once_in_the_filter(spark, sf_dir):
+    text = plan(QUERIES["timeframe_summary_csv"](spark, sf_dir))
+    condition = re.search(r"Filter (.*)", text).group(1)
+    assert len(re.findall("cast", condition.replace("try_cast", "cast"))) == 1, condition
+
+
+def test_colors_are_numbered_in_groups(spark):
+    """Many codes with equal counts: their rank is that of one sort, but no task numbers them all."""
+    rows = [(u, 1, f"#{u * 37 % 9000:06d}", 0, 0) for u in range(300)] + [(u, 1, "#000000", 0, 0) for u in range(5)]
+    log = make_log(spark, rows + [(7, 2, None, 0, 0)])
+    got = px.rank_colors_by_distinct_users(log, "2022-04-01 11", "2022-04-01 13").collect()
+    wanted = sorted(got, key=lambda r: (-r.distinct_users, r.pixel_color or ""))
+    assert [r.rank for r in wanted] == list(range(1, len(got) + 1))
+
+
+def test_tile_order_reads_few_rows_of_a_region(spark, tmp_path):
+    log = spark.sql(
+        """select timestamp_ntz'2022-04-01 12:00:00' + make_dt_interval(0, 0, 0, id % 3000) as timestamp,
+                  id % 977 as user_id_hashed, '#000000' as pixel_color,
+                  cast(id * 7919 % 1009 as int) as x, cast(id * 104729 % 1013 as int) as y
+           from range(0, 400000, 1, 4)"""
+    )
+    read = {}
+    for order in ("tile", "time"):
+        path = str(tmp_path / order)
+        px.write_log(log, path, "day", order=order)
+        region = px.read_log(spark, path).filter(px.in_box(400, 500, 20))
+        assert region.count() == log.filter(px.in_box(400, 500, 20)).count()
+        region.collect()
+        scan = region._jdf.queryExecution().executedPlan()
+        while scan.children().size():
+            scan = scan.children().head()
+        scan = scan.executedPlan() if "AdaptiveSparkPlan" in scan.nodeName() else scan
+        while scan.children().size():
+            scan = scan.children().head()
+        read[order] = scan.metrics().apply("numOutputRows").value()
+    assert 0 < read["tile"] < read["time"] / 4, read
 
 
 def test_only_used_columns_are_read(log):

@@ -1,4 +1,4 @@
-"""Sessions, checked against the plain LAG form and Spark's own session window."""
+"""Sessions, checked against their definition and Spark's own session window."""
 
 import random
 
@@ -11,18 +11,15 @@ from helpers import at, make_log, rows_of
 START, END = "2022-04-01 12", "2022-04-01 18"
 B = "#000000"
 
-LAG_FORM = """
-with activity as (select *, lag(timestamp) over (partition by user_id_hashed order by timestamp) as previous
-                  from {log} where timestamp is not null),
-flags as (select *, case when previous is null or timestamp - previous > interval '{gap}' second
-                         then 1 else 0 end as new_session from activity),
-assigned as (select *, sum(new_session) over (partition by user_id_hashed order by timestamp) as session_id
-             from flags)
-"""
-
-
-def lag_form(spark, log, select, gap):
-    return spark.sql((LAG_FORM + select).replace("{gap}", str(gap)), log=log)
+def by_definition(log, gap):
+    """(user, time, session) of every placement: it opens a session if its user has none in the ``gap`` before it."""
+    rows = [(r.user_id_hashed, r.timestamp) for r in log.collect() if r.timestamp is not None]
+    out = []
+    for user in {u for u, _ in rows}:
+        times = sorted(t for u, t in rows if u == user)
+        opened = {t for t in times if not any(0 < (t - s).total_seconds() <= gap for s in times)}
+        out += [(user, t, sum(o <= t for o in opened)) for t in times]
+    return out
 
 
 def random_log(spark, seed, users=6, rows=1500, span=86400):
@@ -78,28 +75,36 @@ def test_unparsed_timestamps_are_in_no_session(spark):
 
 @pytest.mark.parametrize("gap", [60, 900, 21600])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_equals_lag_form(spark, seed, gap):
-    log = random_log(spark, seed)
-    durations = lag_form(
-        spark,
-        log,
-        "select user_id_hashed, session_id, min(timestamp), max(timestamp), count(*) "
-        "from assigned group by user_id_hashed, session_id having count(*) > 1",
-        gap,
-    )
-    columns = ["user_id_hashed", "session_id", "session_start", "session_end", "placements"]
-    assert rows_of(px.session_durations(log, gap), *columns) == rows_of(durations)
-    assigned = lag_form(spark, log, "select timestamp, user_id_hashed, session_id from assigned", gap)
+def test_equals_definition(spark, seed, gap):
+    log = random_log(spark, seed, rows=600)
+    wanted = by_definition(log, gap)
     got = px.session_assignments(log, gap)
-    assert rows_of(got, "timestamp", "user_id_hashed", "session_id") == rows_of(assigned)
-    flags = lag_form(
-        spark,
-        log,
-        "select user_id_hashed, timestamp, count(*), sum(new_session) from flags group by 1, 2",
-        gap,
-    )
+    assert rows_of(got, "user_id_hashed", "timestamp", "session_id") == sorted(wanted, key=repr)
+    sessions = {}
+    for user, time, number in wanted:
+        sessions.setdefault((user, number), []).append(time)
+    rows = [(u, n, min(ts), max(ts), len(ts)) for (u, n), ts in sessions.items() if len(ts) > 1]
+    columns = ["user_id_hashed", "session_id", "session_start", "session_end", "placements"]
+    assert rows_of(px.session_durations(log, gap), *columns) == sorted(rows, key=repr)
+    flags = {(u, t): [0, int(t == min(sessions[u, n]))] for u, t, n in wanted}
+    for user, time, _ in wanted:
+        flags[user, time][0] += 1
     columns = ["user_id_hashed", "timestamp", "placements", "new_session"]
-    assert rows_of(px.session_flags(log, gap), *columns) == rows_of(flags)
+    assert rows_of(px.session_flags(log, gap), *columns) == sorted(((*k, *v) for k, v in flags.items()), key=repr)
+
+
+def test_a_null_user_is_a_user(spark):
+    log = make_log(spark, [(None, 0, B, 0, 0), (None, 60, B, 0, 0), (1, 30, B, 0, 0)])
+    assert rows_of(px.sessionize(log), "user_id_hashed", "placements") == [(1, 1), (None, 2)]
+    assert rows_of(px.session_assignments(log), "user_id_hashed", "session_id") == [(1, 1), (None, 1), (None, 1)]
+    flags = rows_of(px.session_flags(log), "user_id_hashed", "timestamp", "new_session")
+    assert flags == [(1, at(30), 1), (None, at(0), 1), (None, at(60), 0)]
+
+
+@pytest.mark.parametrize("gap", [0, -1, 900.7, True])
+def test_the_gap_is_whole_seconds(spark, gap):
+    with pytest.raises(ValueError):
+        px.sessionize(make_log(spark, []), gap)
 
 
 def test_equals_session_window(spark):

@@ -1,12 +1,14 @@
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import pixeltide as px
 from helpers import make_log, plan, rows_of
+from pixeltide.functions.time import in_frame_once
 from pixeltide.sources.schema import CLEAN, DAY, HOUR
-from pixeltide.sources.shared_folder import fresh_path
+from pixeltide.sources.shared_folder import drop_all, fresh_path, shared_folder, stored
 
 LINES = """timestamp,user_id,pixel_color,coordinate
 2022-04-01 12:00:00.123 UTC,0012,#FFFFFF,"1,2"
@@ -61,6 +63,57 @@ def test_strict_timestamps(spark):
         df.select(px.parse_timestamp("t", strict=True)).collect()
 
 
+def test_only_the_utc_forms_are_timestamps(spark):
+    texts = ["2022", "2022-04-01", "2022-04-01 12:00:00", "2022-04-01 12:00:00+02:00", "2022-04-01T12:00:00 UTC",
+             "2022-13-01 12:00:00 UTC", "2022-04-01 12:00:00.1234567 UTC", " 2022-04-01 12:00:00 UTC", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(px.parse_timestamp("t")).collect()] == [None] * len(texts)
+    good = spark.createDataFrame([("2022-04-01 12:00:00.5 UTC",), ("2022-04-01 12:00:00.123456 UTC",), (None,)], "t string")
+    wanted = [datetime(2022, 4, 1, 12, 0, 0, 500000), datetime(2022, 4, 1, 12, 0, 0, 123456), None]
+    for strict in (False, True):
+        assert [r[0] for r in good.select(px.parse_timestamp("t", strict)).collect()] == wanted
+
+
+def test_offsets_are_converted_on_demand(spark):
+    texts = ["2022-04-01 12:00:00.25+02:00", "2022-04-01 12:00:00 -0530", "2022-04-01 12:00:00Z", "2022-04-01 12:00:00.5 UTC", "2022", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(px.parse_timestamp("t", offsets=True)).collect()]
+    assert got == [
+        datetime(2022, 4, 1, 10, 0, 0, 250000), datetime(2022, 4, 1, 17, 30), datetime(2022, 4, 1, 12),
+        datetime(2022, 4, 1, 12, 0, 0, 500000), None, None,
+    ]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        df.select(px.parse_timestamp("t", strict=True, offsets=True)).collect()
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_the_single_comparison_equals_the_range(spark, inclusive):
+    frame = "2022-04-01 12:00:00.000001", "2022-04-01 13:00:00.000004"
+    times = [datetime(2022, 4, 1, 12, 0, 0, k) for k in range(4)] + [datetime(2022, 4, 1, 13, 0, 0, k) for k in range(7)]
+    df = spark.createDataFrame([(t,) for t in (*times, None)], "t timestamp_ntz")
+    one, two = (df.filter(f("t", *frame, inclusive)) for f in (in_frame_once, px.in_frame))
+    assert rows_of(one) == rows_of(two) and one.count() == (8 if inclusive else 7)
+
+
+def test_a_column_that_only_has_the_name_of_a_folder_changes_nothing(spark, tmp_path):
+    stale = make_log(spark, [(1, 0, "#000000", 1, 2)]).withColumn(DAY, F.lit(19990101)).withColumn(HOUR, F.lit(1))
+    frame = "2022-04-01 11", "2022-04-01 13"
+    assert px.within_frame(stale, *frame).count() == 1
+    px.write_log(stale, str(tmp_path / "log"), "day")
+    log = px.read_log(spark, str(tmp_path / "log"))
+    moved = log.withColumn("timestamp", F.col("timestamp") + F.expr("interval 2 days"))
+    assert px.within_frame(moved, "2022-04-03 11", "2022-04-03 13").count() == 1
+    overwritten = log.withColumn(DAY, F.lit(19990101))
+    assert px.within_frame(overwritten, *frame).count() == 1
+    assert "PartitionFilters: [isnotnull(placed_day" in plan(px.within_frame(log, *frame))
+
+
+def test_another_table_is_no_clean_log(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="no clean log"):
+        px.read_log(spark, str(tmp_path / "t"))
+
+
 def sample(spark):
     rows = [(i % 5, i * 613 % 86400, "#000000", i % 3, i % 4) for i in range(300)]
     return make_log(spark, rows + [(1, None, "#FFFFFF", 0, 0)])
@@ -158,3 +211,12 @@ def test_fresh_paths_differ_and_use_the_shared_folder(spark):
     assert one != two
     folder = spark.conf.get("spark.checkpoint.dir", None)
     assert folder is None or one.startswith(folder.rstrip("/"))
+
+
+def test_tables_go_to_the_shared_folder_and_are_removed(spark):
+    folder = shared_folder(spark)
+    assert folder == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    kept = stored(spark.range(5), "removed")
+    assert kept.count() == 5 and list(Path(folder).glob("removed-*"))
+    drop_all(spark)
+    assert not list(Path(folder).glob("*"))

@@ -25,7 +25,7 @@ def _ts(value) -> str:
     return f"timestamp '{as_moment(value)}'"
 
 
-LOG = f"p as (select {', '.join(CLEAN)} from events)"
+LOG = f"p as (select {', '.join(CLEAN)} from events)".replace("timestamp_ntz", "timestamp")
 FRAMED = f"{LOG}, f as (select * from p where timestamp >= {_ts(START)} and timestamp <= {_ts(END)})"
 HALF_OPEN = f"{LOG}, f as (select * from p where timestamp >= {_ts(START)} and timestamp < {_ts(END)})"
 BOX = (
@@ -35,18 +35,23 @@ BOX = (
 NAMES = "names(pixel_color, name) as (values " + ", ".join(f"('{c}', '{n}')" for c, n in PALETTE.items()) + ")"
 NAMED = f"coalesce(name, '{UNKNOWN}') as color"
 
-# Milliseconds or whole seconds survive, by the rule that wrote the text.
+# Tenths, milliseconds or whole seconds survive, by the rule that wrote the text.
 RAW = f"""
 r as (select event_id, user_id, pixel_color, x, y,
-        case when event_id % 97 = 0 then null
+        case when event_id % 97 < 4 then null
+             when event_id % 31 = 0 then date_trunc('second', ts) + to_milliseconds(100 * cast(tenth as int))
              when event_id % 4 = 0 then date_trunc('second', ts)
              else date_trunc('millisecond', ts) end as timestamp,
         case when event_id % 97 = 0 then 'bad'
+             when event_id % 97 = 1 then '2022'
+             when event_id % 97 = 2 then '2024-01-10'
+             when event_id % 97 = 3 then strftime(ts, '%Y-%m-%d %H:%M:%S') || '+02:00'
+             when event_id % 31 = 0 then strftime(ts, '%Y-%m-%d %H:%M:%S.') || tenth || ' UTC'
              when event_id % 4 = 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC'
              else strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' UTC' end as text,
         case when event_id % 10 = 0 then x || ',' || y || ',' || (x + 1) || ',' || (y + 1)
              else x || ',' || y end as coordinate
-      from (select event_id, user_id, ts, {', '.join(PAINTED)} from events))
+      from (select event_id, user_id, ts, substr(strftime(ts, '%g'), 1, 1) as tenth, {', '.join(PAINTED)} from events))
 """
 
 
@@ -59,23 +64,26 @@ def _rgb(column: str) -> str:
     )
 
 
+# By definition: a placement opens a session if its user has none in the 900 s
+# before it, and a session's number is how many were opened so far.
 SESSIONS = f"""
 {FRAMED},
-activity as (select *, lag(timestamp) over (partition by user_id_hashed order by timestamp) as previous from f),
-flags as (select *, case when previous is null or extract(epoch from timestamp - previous) > 900
-                         then 1 else 0 end as new_session from activity),
-assigned as (select *, cast(sum(new_session) over (partition by user_id_hashed order by timestamp) as bigint)
-                         as session_id from flags),
+instants as (select user_id_hashed, timestamp, count(*) as placements from f group by all),
+marked as (select *, 0 = count(*) over (partition by user_id_hashed order by timestamp
+                                        range between interval 900 seconds preceding
+                                              and interval 1 microsecond preceding) as opens from instants),
+sessions as (select *, count(*) filter (where opens) over (partition by user_id_hashed order by timestamp)
+                         as session_id from marked),
 durations as (select user_id_hashed, session_id, min(timestamp) as session_start, max(timestamp) as session_end,
-                     count(*) as placements,
+                     cast(sum(placements) as bigint) as placements,
                      extract(epoch from max(timestamp) - min(timestamp)) as session_seconds
-              from assigned group by user_id_hashed, session_id having count(*) > 1)
+              from sessions group by user_id_hashed, session_id having sum(placements) > 1)
 """
 
 
 def _mode(key: str, name: str) -> str:
     return f"""with {HALF_OPEN}
-select {key} as {name}, count(*) as placements from f group by {key} order by placements desc, {name} limit 1"""
+select {key} as {name}, count(*) as placements from f where {key} is not null group by {key} order by placements desc, {name} limit 1"""
 
 
 def _frames() -> str:
@@ -108,7 +116,7 @@ PERCENTILES = " union all ".join(
     for p in PERCENTAGES
 )
 RANKED = f"""ranked as (
-  select cast(row_number() over (order by u desc, pixel_color) as int) as rank, pixel_color, {NAMED},
+  select cast(row_number() over (order by u desc, pixel_color nulls first) as int) as rank, pixel_color, {NAMED},
          u as distinct_users
   from (select pixel_color, count(distinct user_id_hashed) as u from f group by pixel_color)
        left join names using (pixel_color))"""
@@ -145,6 +153,7 @@ ORACLE: dict[str, str] = {
     "split_coordinates": f"with {RAW} select coordinate, x, y from r",
     "user_hash_cardinality": "select count(distinct user_id) as users from events",
     "parse_timestamps": f"with {RAW} select text, timestamp from r",
+    "region_of_clustered_log": f"with {HALF_OPEN} select * from f where {BOX}",
     "filter_half_open": f"with {HALF_OPEN} select * from f",
     "filter_closed": f"with {FRAMED} select * from f",
     "filter_between": f"with {LOG} select * from p where timestamp between {_ts(START)} and {_ts(END)}",
@@ -152,10 +161,11 @@ ORACLE: dict[str, str] = {
     "filter_tuple_in": f"with {LOG} select * from p where (x, y) in ({PIXEL_LIST})",
     "filter_isin": f"with {LOG} select x, y, user_id_hashed, pixel_color, timestamp from p "
     f"where user_id_hashed in ({', '.join(map(str, USERS))})",
-    "session_flags": f"with {SESSIONS} select user_id_hashed, timestamp, count(*) as placements, "
-    "cast(max(new_session) as int) as new_session from flags group by user_id_hashed, timestamp",
+    "session_flags": f"with {SESSIONS} select user_id_hashed, timestamp, placements, "
+    "cast(opens as int) as new_session from marked",
     "session_assignments": f"with {SESSIONS} "
-    "select timestamp, user_id_hashed, pixel_color, x, y, session_id from assigned",
+    "select f.*, session_id from f join sessions on f.user_id_hashed is not distinct from sessions.user_id_hashed "
+    "and f.timestamp = sessions.timestamp",
     "session_durations": f"with {SESSIONS} select * from durations",
     "avg_session_length": f"with {SESSIONS} {AVERAGE}",
     "count_by_color": f"with {LOG} select pixel_color, count(*) as placements from p group by pixel_color",

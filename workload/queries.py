@@ -58,6 +58,14 @@ def frame_of_clustered_log(spark, sf_dir):
     return px.within_frame(px.read_log(spark, path), START, END).select(*CLEAN.fieldNames())
 
 
+@query
+def region_of_clustered_log(spark, sf_dir):
+    path = fresh_path(spark, "clean-log")
+    px.write_log(placements(spark, sf_dir), path, folders="day", order="tile")
+    inside = px.within_frame(px.read_log(spark, path), START, END)
+    return inside.filter(px.in_box(CENTER_X, CENTER_Y, RADIUS)).select(*CLEAN.fieldNames())
+
+
 @query
 def split_coordinates(spark, sf_dir):
     return raw_placements(spark, sf_dir).select("coordinate", *px.split_coordinate("coordinate"))
