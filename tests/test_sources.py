@@ -219,4 +219,4 @@ def test_tables_go_to_the_shared_folder_and_are_removed(spark):
     kept = stored(spark.range(5), "removed")
     assert kept.count() == 5 and list(Path(folder).glob("removed-*"))
     drop_all(spark)
-    assert not list(Path(folder).glob("*"))
+    assert not list(Path(folder).glob("removed-*"))
