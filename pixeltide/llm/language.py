@@ -95,6 +95,7 @@ class Parser:
             none = table < 0
             restart = np.where(table[0] >= 0, table[0], 0)
             to = np.where(none, restart, table).astype(np.int64) + base
+            none[0] = True  # from the root, where a text starts and unknown characters lead, a phrase begins
             to[:, END] = np.arange(len(table)) + base
             none[:, END] = False
             moves.append(to * self.classes * 2 + none)
@@ -132,7 +133,7 @@ class Parser:
         data = np.concatenate(rows)
         active = len(size) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1))
         state = np.tile(np.array(self.roots, self.moves.dtype), (len(size), 1))
-        count = np.ones((len(size), len(self.languages)), np.int32)
+        count = np.zeros((len(size), len(self.languages)), np.int32)
         for t, n in enumerate(active.tolist()):
             move = self.moves[state[:n] + data[begins[:n] + t]]
             count[:n] += move & 1
