@@ -32,6 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there is removed when the program ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:  # registered after the session's own hooks, so it runs before them
+        atexit.unregister(_leave_nothing)
+        atexit.register(_leave_nothing)
     _made[path] = spark
     return path
 
@@ -56,7 +59,6 @@ def drop_all(spark: SparkSession) -> None:
         drop(spark, path)
 
 
-@atexit.register
 def _leave_nothing() -> None:
     for path, spark in list(_made.items()):
         if spark.sparkContext._jsc is not None:
