@@ -27,6 +27,27 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) < 5 then list_filter([array_to_string(w, ' ')], lambda x: x <> '')
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+  from words
+), each as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from each a join each b on a.shingle = b.shingle and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), both_ways as (select a, b from links union select b, a from links),
+reach as (select a, b from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a)
+select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce(least_b, doc_id)) as component_id,
+  doc_id <= coalesce(least_b, doc_id) as kept
+from sets left join (select a, min(b) as least_b from reach group by a) on a = doc_id
+"""
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return exact_search.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -220,6 +241,44 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spans_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""
+  select doc_id, {rank} as rank, '{kind}' as kind, start, start + length(hit) as stop, hit from (
+    select doc_id, hits[k] as hit, sizes[k] as size,
+      cast(list_sum(list_transform(gaps[1:k], lambda x: length(x)))
+           + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) as bigint) as start
+    from (select doc_id, regexp_extract_all(t, '{pattern}') as hits, regexp_split_to_array(t, '{pattern}') as gaps,
+            list_transform(regexp_extract_all(t, '{pattern}', {group}), lambda x: length(x)) as sizes,
+            unnest(range(1, len(hits) + 1)) as k from docs)
+  ) where size >= {least}"""
+
+
+def _op10_sql(limits: secrets.Entropy = secrets.Entropy()) -> str:
+    n, runs = limits.window, f"[A-Za-z0-9+/_=-]{{{limits.window},}}"
+    # A run of hex digits is one match, so short ones may be left to the pattern: far fewer matches to place.
+    base = [(k, f"[0-9a-f]{{{least},}}" if k == "hex" else p, g, least) for k, p, g, least in secrets.BASE]
+    spans = [_spans_sql(rank, *b) for rank, b in enumerate(base)]
+    # The engine has no back references: repetition is said without one.
+    known = " or ".join(f"regexp_matches(hit, '{a}')" for a in secrets.ALLOWED if "\\1" not in a)
+    repeated = " or ".join(f"hit = repeat(hit[1:{k}], length(hit) // {k}) and length(hit) > {k}" for k in range(1, 9))
+    return f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+found as ({" union all ".join(spans)} union all
+  select * from ({_spans_sql(len(spans), "entropy", runs, 0, n)})
+  where regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Za-z]') and not ({known}) and not ({repeated})
+    and list_max(list_transform(range(1, length(hit) - {n} + 2), lambda i: list_entropy(string_split(hit[i:i + {n} - 1], ''))))
+      >= case when regexp_full_match(hit, '[0-9a-fA-F]+') then {limits.hex}
+              when regexp_full_match(hit, '[0-9A-Za-z]+') then {limits.alnum} else {limits.base64} end - 1e-9
+)
+select doc_id, {", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in ("assign", "access", "hex"))},
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank)
+                    filter (where kind <> 'entropy'), '')) as base_sha256,
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank), '') as spans
+from docs left join found using (doc_id) group by doc_id
+"""
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_exact_top_k": op2_exact_top_k,
@@ -234,7 +293,9 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_near_duplicates": OP1_SQL,
     "op2_exact_top_k": OP2_SQL,
     "op3_warc_audit": OP3_SQL,
     "op6_chat_examples": OP6_SQL,
+    "op10_secret_scan": _op10_sql(),
 }
