@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -37,8 +38,8 @@ LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBER = "0-9²³¹¼½¾"
 LATIN_SPACE = r"\t-\r \x85\xa0"
 
-#: Most words a worker remembers with their ids before it starts anew.
-REMEMBERED = 600_000
+#: Most words a worker remembers with their ids, twice: those used lately, and those before them.
+REMEMBERED = 150_000
 
 
 def _word_pattern(engine, letter: str, number: str, space: str):
@@ -173,16 +174,26 @@ class Vocabulary:
 
 
 class WordIds(dict):
-    """Ids of words as little-endian 32-bit integers, filled on demand by ``encode``; bounded."""
+    """Ids of words as little-endian 32-bit integers, filled on demand by ``encode``; bounded.
+
+    When full, the words become the older generation and a new one begins, to
+    which words return as they are met: frequent words are never forgotten.
+    """
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = np.array(self.encode(word), "<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            found = self.encode(word)
+            ids = pack(f"<{len(found)}I", *found)
+        self[word] = ids
         return ids
 
     def of_words(self, words: list[str]) -> bytes:

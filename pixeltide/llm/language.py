@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters of a segment, and of texts parsed at once.
+from pixeltide.llm.workers import slices
+
+#: Characters of a segment, and bytes of texts parsed at once.
 SEGMENT, TOGETHER = 1024, 1_000_000
 #: Fixed classes of characters; letters of the samples follow.
 BLANK, END, OTHER = 0, 1, 2
@@ -42,35 +44,32 @@ class Sample(NamedTuple):
 
 def suffix_automaton(codes: np.ndarray, classes: int) -> np.ndarray:
     """Transitions [state, class] of the automaton of all substrings of ``codes``; -1 where there is none."""
-    steps: list[dict[int, int]] = [{}]
-    link, longest, last = [-1], [0], 0
+    table = np.full((2 * len(codes) + 1, classes), -1, np.int32)
+    link, longest, last, states = [-1], [0], 0, 1
     for c in codes.tolist():
-        new = len(steps)
-        steps.append({})
+        column = table[:, c]
+        new, states = states, states + 1
         longest.append(longest[last] + 1)
         link.append(0)
         at = last
-        while at >= 0 and c not in steps[at]:
-            steps[at][c] = new
+        while at >= 0 and column[at] < 0:
+            column[at] = new
             at = link[at]
         if at >= 0:
-            there = steps[at][c]
+            there = int(column[at])
             if longest[there] == longest[at] + 1:
                 link[new] = there
             else:
-                split = len(steps)
-                steps.append(dict(steps[there]))
+                split, states = states, states + 1
+                table[split] = table[there]
                 longest.append(longest[at] + 1)
                 link.append(link[there])
                 link[there] = link[new] = split
-                while at >= 0 and steps[at].get(c) == there:
-                    steps[at][c] = split
+                while at >= 0 and column[at] == there:
+                    column[at] = split
                     at = link[at]
         last = new
-    table = np.full((len(steps), classes), -1, np.int32)
-    for state, row in enumerate(steps):
-        table[state, list(row.keys())] = list(row.values())
-    return table
+    return table[:states]
 
 
 class Parser:
@@ -88,23 +87,25 @@ class Parser:
                 self.known[ord(c)] = k
             else:
                 self.rare[ord(c)] = k
-        moves, self.roots, self.bits, base = [], [], [], 0
-        for s in samples:
-            codes = self.codes(s.text)[0]
+        coded = [self.codes(s.text)[0] for s in samples]
+        # An automaton has at most twice as many states as its sample has characters.
+        cells = 2 * sum(len(c) + 1 for c in coded) * self.classes
+        kind = np.int32 if 2 * cells < 2**31 else np.int64
+        moves, self.roots, self.bits, base = [np.zeros((0, self.classes), kind)], [], [], 0
+        for codes in coded:
             table = suffix_automaton(codes, self.classes)
             none = table < 0
-            restart = np.where(table[0] >= 0, table[0], 0)
-            to = np.where(none, restart, table).astype(np.int64) + base
+            to = np.where(none, np.where(table[0] >= 0, table[0], 0), table).astype(kind) + kind(base)
             none[0] = True  # from the root, where a text starts and unknown characters lead, a phrase begins
             to[:, END] = np.arange(len(table)) + base
             none[:, END] = False
-            moves.append(to * self.classes * 2 + none)
+            to *= self.classes * 2
+            to += none
+            moves.append(to)
             self.roots.append(base * self.classes)
             self.bits.append(math.log2(len(codes) + 2))
             base += len(table)
-        self.moves = np.concatenate(moves or [np.zeros((1, self.classes), np.int64)]).ravel()
-        if base * self.classes * 2 < 2**31:
-            self.moves = self.moves.astype(np.int32)
+        self.moves = np.concatenate(moves).ravel()
 
     def codes(self, text: str) -> tuple[np.ndarray, bool]:
         """Classes of the characters, runs of blanks as one; and whether there is a letter."""
@@ -144,24 +145,18 @@ class Parser:
     def bits_per_character(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross entropy [text, language], and whether the text has a letter."""
         rows, lettered = zip(*(self.codes(t or "") for t in texts)) if texts else ((), ())
-        counts = np.zeros((len(texts), len(self.languages)))
-        start, held = 0, 0
-        for end, row in enumerate(rows, 1):
-            held += len(row)
-            if held >= TOGETHER or end == len(rows):
-                counts[start:end] = self.phrases(list(rows[start:end]))
-                start, held = end, 0
+        counts = self.phrases(list(rows))
         sizes = np.array([max(1, len(r)) for r in rows])
         return counts * np.array(self.bits) / sizes[:, None], np.array(lettered, bool)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _parser(samples: tuple[Sample, ...]) -> Parser:
     return Parser(samples)
 
 
 def learn(
-    labelled: DataFrame, texts: int = 24, characters: int = 20_000, languages: int = 200,
+    labelled: DataFrame, texts: int = 60, characters: int = 50_000, languages: int = 200,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> tuple[Sample, ...]:
     """Samples from rows with a text and a language.
@@ -208,18 +203,20 @@ def predict(text: Column, samples: tuple[Sample, ...]) -> Column:
         parser = _parser(samples)
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         if parser.languages and len(texts):
-            bits, lettered = parser.bits_per_character(texts.to_pylist())
-            order = np.argsort(bits, axis=1, kind="stable")
-            for i in np.flatnonzero(lettered).tolist():
-                best = order[i, 0]
-                names[i] = parser.languages[best]
-                rest = bits[i, order[i, 1]] if len(parser.languages) > 1 else np.inf
-                scores[i] = 1.0 - bits[i, best] / rest
+            for start, part in slices(texts, TOGETHER):
+                bits, lettered = parser.bits_per_character(part.to_pylist())
+                order = np.argsort(bits, axis=1, kind="stable")
+                for i in np.flatnonzero(lettered).tolist():
+                    best = order[i, 0]
+                    names[start + i] = parser.languages[best]
+                    rest = bits[i, order[i, 1]] if len(parser.languages) > 1 else np.inf
+                    scores[start + i] = 1.0 - bits[i, best] / rest
         return pa.StructArray.from_arrays(
             [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"]
         )
 
-    return identify(text)
+    # Else a filter on the result would have it evaluated again, by a second Python worker in each task.
+    return identify.asNondeterministic()(text)
 
 
 def identify(

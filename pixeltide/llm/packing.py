@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pixeltide.llm.bpe import WordIds, encode_text
+from pixeltide.llm.workers import slices
 from pixeltide.sources.shared_folder import stored
 
 
@@ -100,16 +101,17 @@ def token_pieces(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, special = _word_ids(path)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for i, text in zip(batch.column(0), batch.column(1)):
-                ids, doc_id = encode_text(text.as_py() or "", known, special) + end, i.as_py()
-                for k, (start, length) in enumerate(cuts(len(ids) // 4, width)):
-                    for column, value in zip(out, (doc_id, k, start, length, ids[4 * start : 4 * (start + length)])):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
-                names=["doc_id", "piece", "start", "length", "ids"],
-            )
+            types = (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            for first, texts in slices(batch.column(1)):
+                out: tuple[list, ...] = ([], [], [], [], [])
+                for i, text in zip(batch.column(0).slice(first, len(texts)), texts):
+                    ids, doc_id = encode_text(text.as_py() or "", known, special) + end, i.as_py()
+                    for k, (start, length) in enumerate(cuts(len(ids) // 4, width)):
+                        for column, value in zip(out, (doc_id, k, start, length, ids[4 * start : 4 * (start + length)])):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids"]
+                )
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 import numpy as np
@@ -18,7 +19,8 @@ def on_workers(spark: SparkSession) -> None:
     with ``--py-files`` as usual.
     """
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if ROOT not in path.split(":"):
+    # Another environment means other workers beside the ones there are, so it is changed only if it must be.
+    if ROOT not in [*path.split(":"), *os.environ.get("PYTHONPATH", "").split(":")]:
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{path}" if path else ROOT
 
 
@@ -53,6 +55,7 @@ def slices(texts: pa.Array, limit: int = 400_000):
         end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + limit, "right")) - 1)
         yield start, texts.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()
 
 
 _SPACE = np.zeros(256, bool)
