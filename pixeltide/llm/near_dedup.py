@@ -192,10 +192,13 @@ def near_duplicates(
     classes = (
         signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     )
+    # Written, so that the joins below are dealt anew and a class of very many copies is split among tasks.
+    classes = stored(classes, "classes")
     members = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     chosen = signed.join(classes, ["set_a", "set_b"]).where("doc_id = rep")
     banded = chosen.select("rep", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
+    hubs = stored(hubs, "hubs")
     met = banded.join(hubs, "key").where("rep <> hub").select("hub", "rep").distinct()
     met = stored(met, "met")
 
