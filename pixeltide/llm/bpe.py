@@ -39,7 +39,7 @@ NUMBER = "0-9²³¹¼½¾"
 LATIN_SPACE = r"\t-\r \x85\xa0"
 
 #: Most words a worker remembers with their ids, twice: those used lately, and those before them.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 
 def _word_pattern(engine, letter: str, number: str, space: str):
@@ -180,13 +180,13 @@ class WordIds(dict):
     which words return as they are met: frequent words are never forgotten.
     """
 
-    def __init__(self, encode):
+    def __init__(self, encode, remembered: int = REMEMBERED):
         super().__init__()
-        self.encode = encode
+        self.encode, self.remembered = encode, remembered
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.remembered:
             self.older = dict(self)
             self.clear()
         ids = self.older.get(word)

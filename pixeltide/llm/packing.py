@@ -29,6 +29,9 @@ from pixeltide.llm.bpe import WordIds, encode_text
 from pixeltide.llm.workers import slices
 from pixeltide.sources.shared_folder import stored
 
+#: As ``bpe.REMEMBERED``; less, since packing follows other stages in the same workers.
+REMEMBERED = 150_000
+
 
 class Slot(NamedTuple):
     """Pieces of ``length`` with ranks ``rank`` to ``rank + pieces - 1``: ``each`` to a sequence."""
@@ -78,7 +81,7 @@ def plan_sequences(histogram: dict[int, int], width: int) -> list[Slot]:
 def _word_ids(path: str) -> tuple[WordIds, dict[str, int]]:
     tokenizer = Tokenizer.from_file(path)
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return WordIds(lambda word: tokenizer.encode(word, add_special_tokens=False).ids), special
+    return WordIds(lambda word: tokenizer.encode(word, add_special_tokens=False).ids, REMEMBERED), special
 
 
 def cuts(tokens: int, width: int) -> list[tuple[int, int]]:
