@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, one stage of the pixeltide.llm operators after the other.
 
 Every stage reads the table the stage before it wrote and keeps whole texts:
-language ID drops what has no language, the quality classifier drops bad
+language ID drops what has no letter, the quality classifier drops bad
 documents, near-dedup keeps one document of each group, the secret scan masks
 secrets, packing deals the rest into sequences. All but the last stage return
 the columns of ``documents``.
@@ -26,11 +26,16 @@ LEAST_QUALITY = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without any letter or text; ``lang`` becomes the predicted language."""
+    """Drops documents without any letter or text; ``lang`` becomes the predicted language.
+
+    If nothing can be learned, as no row outside the held-out fifth has a text
+    and a language, the same documents go and ``lang`` stays as it is.
+    """
     on_workers(spark)
     samples = language.learn(docs.where(~held_out()))
-    found = docs.withColumn("_found", language.predict(F.col("text"), samples)).where("_found.lang_pred <> 'und'")
-    return found.withColumn("lang", F.col("_found.lang_pred")).select(*COLUMNS)
+    found = docs.withColumn("_found", language.predict(F.col("text"), samples)).where("_found.lettered")
+    lang = F.col("_found.lang_pred") if samples else F.col("lang")
+    return found.withColumn("lang", lang).select(*COLUMNS)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,20 +191,24 @@ def learn(
 
 
 def predict(text: Column, samples: tuple[Sample, ...]) -> Column:
-    """Struct of ``lang_pred`` and ``score`` of a text column.
+    """Struct of ``lang_pred``, ``score`` and ``lettered`` of a text column.
 
     ``und`` with score 0 for null, for texts without any letter, and if nothing
     was learned. The score is the share by which the best language needs fewer
     bits than the next (1 if there is no other); ties go to the smaller name.
+    ``lettered`` says whether the text has a letter, whatever was learned.
     """
 
-    @F.arrow_udf("lang_pred string, score double")
+    @F.arrow_udf("lang_pred string, score double, lettered boolean")
     def identify(texts: pa.Array) -> pa.Array:
         parser = _parser(samples)
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        if parser.languages and len(texts):
+        names, scores, letters = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        if len(texts):
             for start, part in slices(texts, TOGETHER):
                 bits, lettered = parser.bits_per_character(part.to_pylist())
+                letters[start : start + len(part)] = lettered.tolist()
+                if not parser.languages:
+                    continue
                 order = np.argsort(bits, axis=1, kind="stable")
                 for i in np.flatnonzero(lettered).tolist():
                     best = order[i, 0]
@@ -212,7 +216,8 @@ def predict(text: Column, samples: tuple[Sample, ...]) -> Column:
                     rest = bits[i, order[i, 1]] if len(parser.languages) > 1 else np.inf
                     scores[start + i] = 1.0 - bits[i, best] / rest
         return pa.StructArray.from_arrays(
-            [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"]
+            [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())],
+            names=["lang_pred", "score", "lettered"],
         )
 
     # Else a filter on the result would have it evaluated again, by a second Python worker in each task.
