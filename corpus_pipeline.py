@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixeltide.llm import language, near_dedup, packing, quality, secrets
@@ -47,15 +47,28 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near-duplicates, and documents without id.
 
-    Of rows with one doc_id, that with the least text stays.
+    Rows with one doc_id and one text are one document. Rows with one doc_id and
+    different texts are documents of their own, so that no text goes unless a
+    near-duplicate of its group stays; if they are in one group, the least text
+    counts as the first.
     """
     on_workers(spark)
-    groups = near_dedup.near_duplicates(docs)
-    gone = groups.where("not kept").select("doc_id").distinct()
-    alone = F.when(F.isnull("doc_id"), F.xxhash64("text"))  # else all rows without id would meet in one task
-    first = F.row_number().over(Window.partitionBy("doc_id", alone).orderBy("text"))
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_first", first)
-    return left.where("_first = 1 or doc_id is null").select(*COLUMNS)
+    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    repeated = stored(repeated, "repeated")
+    if not repeated.limit(1).count():
+        gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # Ids that several rows share are replaced by a hash of id and text.
+    again = F.col("_again").isNotNull()
+    key = F.when(again, F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    keyed = docs.join(repeated.withColumn("_again", F.lit(True)), "doc_id", "left").withColumn("_key", key)
+    keyed = stored(keyed, "keyed")
+    groups = near_dedup.near_duplicates(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    names = keyed.where("_key is not null").select("_key", F.struct("doc_id", F.when(again, F.col("text")), "_key").alias("name"))
+    firsts = groups.distinct().join(names, "_key").groupBy("component_id").agg(F.min("name").alias("name"))
+    left = keyed.join(firsts.select("name._key"), "_key", "left_semi")
+    left = left.where(~again).unionByName(left.where(again).dropDuplicates(["doc_id", "text"]))
+    return left.unionByName(keyed.where("_key is null")).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,7 +185,8 @@ def near_duplicates(
     A-Z as a-z). component_id is the smallest doc_id that links reach, kept
     says that it is the row's own. Null and empty texts have no shingles and
     no links. Rows that share a doc_id count as one document with several
-    texts. A row without doc_id takes no part: component_id null, kept true.
+    texts: what is linked to any of them is in its component, and all its rows
+    have one component_id. A row without doc_id takes no part: component_id null, kept true.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(signatures(docs, words), "signatures")
@@ -216,6 +217,11 @@ def near_duplicates(
         .where(is_link(F.col("shared"), F.col("n1"), F.col("n2"), percent))
         .select("a", "b")
     )
+    # A document with several texts may be in several classes; it links them.
+    several = stored(signed.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "several")
+    if several.limit(1).count():
+        own = members.where("rep <> doc_id").join(several, "doc_id", "left_semi").select("doc_id", "rep").distinct()
+        confirmed = confirmed.union(own)
     confirmed = stored(confirmed, "links")
     labels = stored(components(confirmed), "labels")
 
@@ -244,8 +250,9 @@ def near_duplicates(
     more = stored(more, "links")
     if more.limit(1).count():
         labels = stored(components(confirmed.union(more)), "labels")
-    found = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    found = members.withColumn("rep", F.coalesce("rep", "doc_id"))
+    found = found.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    component = F.coalesce("component", "rep")
     return found.select(
         "doc_id",
         "n_shingles",
