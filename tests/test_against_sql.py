@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB, on whole tables."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -19,6 +20,12 @@ TYPES = {
 }
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    """Larger tables than elsewhere: the smallest ones have no cell whose last placement lacks a colour."""
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     connection = duckdb.connect()

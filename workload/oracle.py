@@ -125,10 +125,12 @@ TOP_USERS = """t as (select user_id_hashed, count(*) as placements from p group
       order by placements desc, user_id_hashed limit {k})"""
 TOP_PIXELS = "(select x, y, count(*) as placements from p group by x, y order by placements desc, x, y limit {k})"
 PIXEL_LIST = ", ".join(str(pixel) for pixel in PIXELS)
+# A placement without colour or time wins no cell.
+PAINTS = "pixel_color is not null and timestamp is not null"
 REGION = f"""{HALF_OPEN}, cells as (
   select x, y, pixel_color from (
     select x, y, pixel_color, row_number() over (partition by x, y order by timestamp desc, pixel_color desc) as rn
-    from f where {BOX}) where rn = 1)"""
+    from f where {BOX} and {PAINTS}) where rn = 1)"""
 GRID = f"""grid as (select cast(a as int) as x, cast(b as int) as y
   from generate_series(0, {WIDTH - 1}) as u(a), generate_series(0, {HEIGHT - 1}) as v(b))"""
 
@@ -207,6 +209,6 @@ where first_placement >= {_ts(START)} and first_placement <= {_ts(END)}""",
     "user_canvas": f"""with {LOG}, {TOP_USERS.format(k=10)}, {GRID}, cells as (
   select x, y, pixel_color from (
     select x, y, pixel_color, row_number() over (partition by x, y order by timestamp, pixel_color) as rn
-    from p where user_id_hashed in (select user_id_hashed from t)) where rn = 1), {_dense('#FFFFFF')}""",
+    from p where user_id_hashed in (select user_id_hashed from t) and {PAINTS}) where rn = 1), {_dense('#FFFFFF')}""",
     "hex_to_rgb": f"with {LOG} select p.*, {_rgb('pixel_color')} from p",
 }
