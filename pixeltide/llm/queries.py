@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.llm import bpe, chat, exact_search, fingerprints, language, near_dedup, packing, quality, secrets, warc
+from pixeltide.llm import (
+    bpe,
+    chat,
+    exact_search,
+    fingerprints,
+    language,
+    manifest,
+    near_dedup,
+    packing,
+    quality,
+    secrets,
+    warc,
+)
 from pixeltide.llm.workers import on_workers
 from pixeltide.sources.shared_folder import drop, fresh_path, stored
 
@@ -279,6 +291,77 @@ from docs left join found using (doc_id) group by doc_id
 """
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document proved against the manifest; every third one's text has been lower-cased since."""
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    now = manifest.leaf_digest([*map(F.col, columns[:-1]), F.when(tampered, lowered).otherwise(F.col("text"))])
+    known = manifest.manifest(docs, columns, claimed=now)
+    proved = manifest.multiproofs(known.leaves, known.nodes, known.many)
+    claims = [F.col(c) for c in ("claimed", "tree", "idx", "size")]
+    folded = proved.withColumn("folded_root", manifest.fold(*claims, known.many, F.col("proof")))
+    root = F.lit(known.root).cast("string")
+    return folded.join(known.trees.select("tree", "subroot"), "tree").select(
+        F.col("key").alias("doc_id"),
+        "leaf",
+        "subroot",
+        root.alias("root"),
+        F.sha2("proof", 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == root).alias("verified"),
+    )
+
+
+# CRC-32 of decimal text, bit by bit: a byte is mixed in, then come eight shifts.
+_CRC32 = """xor(4294967295, list_reduce(
+  flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: [cast(ascii(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, e: case when e >= 0 then xor(a, e) when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, cast(4294967295 as bigint)))"""
+
+# Trees of any height: a level is made from the one below it until one node is left; then each leaf climbs its path.
+_TOLD = " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", "{text}"))
+OP12_SQL = f"""
+with recursive hashed as (
+  select doc_id, lang, sha256({_TOLD.format(text="text")}) as leaf, sha256({_TOLD.format(
+      text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) as lowered
+  from documents
+), leaves as (
+  select *, dense_rank() over (order by lang nulls first) - 1 as tree, count(*) over (partition by lang) as size,
+    row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as idx from hashed
+), low as (
+  select tree, 0 as level, idx, leaf as digest, size as many from leaves
+  union all
+  select tree, level + 1, idx // 8, sha256(string_agg(digest, '' order by idx)), (many + 7) // 8
+  from low where many > 1 group by tree, level, idx // 8, many
+), subroots as (select tree, digest as subroot from low where many = 1),
+high as (
+  select -1 as tree, 0 as level, tree as idx, subroot as digest, (select count(*) from subroots) as many from subroots
+  union all
+  select tree, level + 1, idx // 8, sha256(string_agg(digest, '' order by idx)), (many + 7) // 8
+  from high where many > 1 group by tree, level, idx // 8, many
+), runs as (
+  select tree, level, idx // 8 as run, list(digest order by idx) as digests from (select * from low union all select * from high)
+  where many > 1 group by all
+), climbed as (
+  select leaves.tree as own, leaves.idx as leaf_idx, leaves.tree, 0 as level, leaves.idx as spot, 0 as step, '' as proof,
+    case when {_CRC32} % 3 = 0 then lowered else leaf end as folded
+  from leaves
+  union all
+  select own, leaf_idx, case when digests is null then -1 else c.tree end, case when digests is null then 0 else c.level + 1 end,
+    case when digests is null then own else spot // 8 end, step + 1,
+    proof || coalesce(array_to_string(digests[1:spot % 8] || digests[spot % 8 + 2:], ''), ''),
+    case when digests is null then folded
+         else sha256(array_to_string(digests[1:spot % 8] || [folded] || digests[spot % 8 + 2:], '')) end
+  from climbed c left join runs r on r.tree = c.tree and r.level = c.level and r.run = c.spot // 8
+  where digests is not null or c.tree >= 0
+), done as (select own, leaf_idx, proof, folded from climbed qualify row_number() over (partition by own, leaf_idx order by step desc) = 1)
+select doc_id, leaf, subroot, (select digest from high where many = 1) as root, sha256(proof) as proof_sha256,
+  folded as folded_root, folded = (select digest from high where many = 1) as verified
+from leaves join done on own = tree and leaf_idx = idx join subroots using (tree)
+"""
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_exact_top_k": op2_exact_top_k,
@@ -290,6 +373,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
@@ -298,4 +382,5 @@ ORACLE: dict[str, str] = {
     "op3_warc_audit": OP3_SQL,
     "op6_chat_examples": OP6_SQL,
     "op10_secret_scan": _op10_sql(),
+    "op12_merkle_manifest": OP12_SQL,
 }
