@@ -11,6 +11,7 @@ from pixeltide.llm import (
     chat,
     exact_search,
     fingerprints,
+    hard_negatives,
     language,
     manifest,
     near_dedup,
@@ -362,6 +363,32 @@ from leaves join done on own = tree and leaf_idx = idx join subroots using (tree
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", relabelled.alias("label"), "embedding")
+    return hard_negatives.hard_negatives(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP13_SQL = """
+with codes as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_inner_product(a.v, c.v) as bigint) as score
+  from codes a join codes c on a.vec_id % 50 = 0 and c.vec_id <> a.vec_id
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, cast(row_number() over w as integer) as rank, vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, vec_id) qualify row_number() over w <= 3
+"""
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_exact_top_k": op2_exact_top_k,
@@ -374,6 +401,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -383,4 +411,5 @@ ORACLE: dict[str, str] = {
     "op6_chat_examples": OP6_SQL,
     "op10_secret_scan": _op10_sql(),
     "op12_merkle_manifest": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
