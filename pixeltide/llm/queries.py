@@ -15,6 +15,7 @@ from pixeltide.llm import (
     language,
     manifest,
     near_dedup,
+    ngram_join,
     packing,
     quality,
     secrets,
@@ -292,6 +293,30 @@ from docs left join found using (doc_id) group by doc_id
 """
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) < 4 then list_filter([array_to_string(w, ' ')], lambda x: x <> '')
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s
+  from words
+), each as (select doc_id, len(s) as n, unnest(s) as gram from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from each a join each b on a.gram = b.gram and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), both_ways as (select a, b from links union select b, a from links),
+reach as (select a, b from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a)
+select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce(least_b, doc_id)) as component_id
+from sets left join (select a, min(b) as least_b from reach group by a) on a = doc_id
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document proved against the manifest; every third one's text has been lower-cased since."""
     docs = table(spark, sf_dir, "documents")
@@ -400,6 +425,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
+    "op11_ngram_join": op11_ngram_join,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -410,6 +436,7 @@ ORACLE: dict[str, str] = {
     "op3_warc_audit": OP3_SQL,
     "op6_chat_examples": OP6_SQL,
     "op10_secret_scan": _op10_sql(),
+    "op11_ngram_join": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
