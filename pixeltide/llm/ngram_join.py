@@ -288,19 +288,23 @@ def similar_documents(
         F.col("entry.grams").alias("gram"), "rep", "n", (F.col("at") + 1).alias("position"), "entry.behind_0", "entry.behind_1"
     )
     members = stored(members.join(often, "gram", "left_semi"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(full_sets(docs.join(wanted, "doc_id", "left_semi"), words), "sets")
 
     belongs = known.join(classes, ["set_a", "set_b"], "left").select("doc_id", "n", "rep")
     several = stored(known.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "several")
     own = belongs.where("rep <> doc_id").join(several, "doc_id", "left_semi").select("doc_id", "rep").distinct().toDF("a", "b")
-    links, labels = own, None
+    links, labels, sets = own, None, None
     if several.limit(1).count():
         labels = stored(components(links), "labels")
     for turn in range(ROUNDS + 1):
         open_ = _labelled(members, labels)
         pairs = _with_hub(open_, turn, percent) if turn < ROUNDS else _in_full(open_, percent)
-        found = stored(_verified(stored(pairs, "pairs"), sets, percent), "links")
+        pairs = stored(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+        more = stored(full_sets(docs.join(wanted, "doc_id", "left_semi"), words), "sets")
+        sets = more if sets is None else sets.unionByName(more)
+        found = stored(_verified(pairs, sets, percent), "links")
         links = links.unionByName(found)
         if found.limit(1).count():
             labels = stored(components(links), "labels")
