@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pixeltide.llm.bpe import WordIds, encode_text
+from pixeltide.llm.bpe import WordIds
+from pixeltide.llm.words import encode_texts
 from pixeltide.llm.workers import slices
 from pixeltide.sources.shared_folder import stored
 
 #: As ``bpe.REMEMBERED``; less, since packing follows other stages in the same workers.
 REMEMBERED = 150_000
+#: Bytes of text encoded together.
+SLICE = 1_000_000
 
 
 class Slot(NamedTuple):
@@ -95,9 +98,9 @@ def token_pieces(
 ) -> DataFrame:
     """Pieces of every document's token ids and ``end_id``: doc_id, piece, start, length, ids (little-endian 32-bit).
 
-    Whole texts, null as empty; an empty text is its end id alone. Words are
-    encoded by the tokenizers library and remembered per worker, since words
-    recur and the library is slow on whole texts.
+    Whole texts, null as empty; an empty text is its end id alone. Each distinct
+    word of a batch is encoded once, by the tokenizers library, and remembered
+    per worker, since words recur and the library is slow on whole texts.
     """
     end = end_id.to_bytes(4, "little")
 
@@ -105,10 +108,11 @@ def token_pieces(
         known, special = _word_ids(path)
         for batch in batches:
             types = (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            for first, texts in slices(batch.column(1)):
+            for first, texts in slices(batch.column(1), SLICE):
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for i, text in zip(batch.column(0).slice(first, len(texts)), texts):
-                    ids, doc_id = encode_text(text.as_py() or "", known, special) + end, i.as_py()
+                encoded = encode_texts([t or "" for t in texts.to_pylist()], known, special)
+                for doc_id, ids in zip(batch.column(0).slice(first, len(texts)).to_pylist(), encoded):
+                    ids += end
                     for k, (start, length) in enumerate(cuts(len(ids) // 4, width)):
                         for column, value in zip(out, (doc_id, k, start, length, ids[4 * start : 4 * (start + length)])):
                             column.append(value)
