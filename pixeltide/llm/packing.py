@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pixeltide.llm.bpe import WordIds
-from pixeltide.llm.words import encode_texts
+from pixeltide.llm.words import encode_texts, merges
 from pixeltide.llm.workers import slices
 from pixeltide.sources.shared_folder import stored
 
@@ -99,8 +99,8 @@ def token_pieces(
     """Pieces of every document's token ids and ``end_id``: doc_id, piece, start, length, ids (little-endian 32-bit).
 
     Whole texts, null as empty; an empty text is its end id alone. Each distinct
-    word of a batch is encoded once, by the tokenizers library, and remembered
-    per worker, since words recur and the library is slow on whole texts.
+    word of a batch is encoded once, see ``words``; the tokenizers library does
+    what is rare, remembered per worker, since it is slow on whole texts.
     """
     end = end_id.to_bytes(4, "little")
 
@@ -110,7 +110,7 @@ def token_pieces(
             types = (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary())
             for first, texts in slices(batch.column(1), SLICE):
                 out: tuple[list, ...] = ([], [], [], [], [])
-                encoded = encode_texts([t or "" for t in texts.to_pylist()], known, special)
+                encoded = encode_texts([t or "" for t in texts.to_pylist()], merges(path), known, special)
                 for doc_id, ids in zip(batch.column(0).slice(first, len(texts)).to_pylist(), encoded):
                     ids += end
                     for k, (start, length) in enumerate(cuts(len(ids) // 4, width)):

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from pixeltide.llm.bpe import LATIN_WORDS
 from pixeltide.llm.packing import _word_ids
-from pixeltide.llm.words import encode_texts, word_starts
+from pixeltide.llm.words import encode_texts, merges, word_starts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = ["a", "s", "t", "re", "ve", "ll", "d", "m", "'", "''", "'s", "'re", "'l", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\x85", "1", "23", "²", ".", "!?", "é", "ß", "-", "S", "'T", "r", "v"]
@@ -42,10 +42,10 @@ def test_ids_of_a_batch_are_the_library_s(seed):
     rng = random.Random(seed)
     known, special = _word_ids(PATH)
     texts = ["", "日本語 and 'll", *special, f"x{next(iter(special))} y's", "it's we'll they'RE", "  \n end  ", " " * 5000, "z" * 3000]
-    texts += ["".join(rng.choice(PARTS + list(special) + ["漢", " word", " the"]) for _ in range(rng.randrange(80))) for _ in range(50)]
+    texts += ["".join(rng.choice(PARTS + list(special) + ["漢", " word", " the", "tion", "ment", " éa", "z" * 47, "ÿ" * 30]) for _ in range(rng.randrange(80))) for _ in range(50)]
     library = Tokenizer.from_file(PATH)
     library.no_truncation()
     library.no_padding()
     wanted = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert encode_texts(texts, known, special) == wanted
-    assert encode_texts([], known, special) == []
+    assert encode_texts(texts, merges(PATH), known, special) == wanted
+    assert encode_texts([], merges(PATH), known, special) == []
