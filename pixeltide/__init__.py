@@ -21,6 +21,16 @@ from pixeltide.operators.frames import (
     timeframe_modes,
     timeframe_summary,
 )
+from pixeltide.operators.kept_state import (
+    CanvasHistory,
+    SessionHistory,
+    count_first_time_users_of,
+    days_between,
+    first_placements,
+    kept_first_placements,
+    painted_cells,
+)
+from pixeltide.operators.many_frames import frame_modes, frames_summary, sliding_frames
 from pixeltide.operators.pixels import top_colors_per_pixel, top_pixels
 from pixeltide.operators.sessions import (
     average_session_length,
@@ -32,10 +42,14 @@ from pixeltide.operators.sessions import (
 from pixeltide.operators.users import top_users, user_positions
 from pixeltide.plans.frame_report import FrameReport, frame_report
 from pixeltide.sources.clean_log import read_log, write_log
+from pixeltide.sources.kept_table import KeptTable
 from pixeltide.sources.raw_csv import clean_log, ingest_csv, read_raw_csv, timed_raw_log
 
 __all__ = [
+    "CanvasHistory",
     "FrameReport",
+    "KeptTable",
+    "SessionHistory",
     "at_pixels",
     "average_session_length",
     "canvas_region",
@@ -44,16 +58,23 @@ __all__ = [
     "coordinate_text",
     "count_by",
     "count_first_time_users",
+    "count_first_time_users_of",
+    "days_between",
     "dense_grid",
     "distinct_pixels",
     "final_cells",
+    "first_placements",
+    "frame_modes",
     "frame_report",
+    "frames_summary",
     "hex_to_rgb",
     "in_box",
     "in_frame",
+    "kept_first_placements",
     "ingest_csv",
     "mode_coordinate_in_frame",
     "mode_in_frame",
+    "painted_cells",
     "parse_timestamp",
     "placement_percentiles",
     "rank_colors_by_distinct_users",
@@ -64,6 +85,7 @@ __all__ = [
     "session_durations",
     "session_flags",
     "sessionize",
+    "sliding_frames",
     "split_coordinate",
     "timed_raw_log",
     "timeframe_modes",

@@ -41,7 +41,7 @@ def _same_user_and(log: DataFrame, other: DataFrame, *keys: str) -> Column:
     return reduce(and_, (log[key].eqNullSafe(other[f"{key}_"]) for key in ("user_id_hashed", *keys)))
 
 
-def _folded(log: DataFrame, gap_seconds: int) -> DataFrame:
+def folded(log: DataFrame, gap_seconds: int) -> DataFrame:
     """One row per user and window: first, last and count."""
     return (
         log.select("user_id_hashed", "timestamp", session_slot(gap_seconds).alias("slot"))
@@ -91,7 +91,7 @@ def sessionize(log: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
 
     A pause of exactly the gap continues the session; a longer one ends it.
     """
-    return sessions_of(_folded(log, gap_seconds), gap_seconds)
+    return sessions_of(folded(log, gap_seconds), gap_seconds)
 
 
 def session_flags(log: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
@@ -133,7 +133,7 @@ def session_assignments(log: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataF
     windows, and Spark splits a window that is still too big (AQE skew join).
     That takes a second scan of the log.
     """
-    slots = _numbered(_folded(log, gap_seconds), gap_seconds).select(
+    slots = _numbered(folded(log, gap_seconds), gap_seconds).select(
         F.col("user_id_hashed").alias("user_id_hashed_"), F.col("slot").alias("slot_"), "session_id"
     )
     dealt = log.withColumn("slot", session_slot(gap_seconds))

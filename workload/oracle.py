@@ -13,8 +13,13 @@ from workload.queries import (
     FIRST_START,
     HEIGHT,
     HOURS,
+    LONG_GAP,
     PIXELS,
     RADIUS,
+    SESSION_BORDERS,
+    SLIDE_END,
+    SLIDE_HOURS,
+    SLIDE_START,
     START,
     USERS,
     WIDTH,
@@ -81,6 +86,19 @@ durations as (select user_id_hashed, session_id, min(timestamp) as session_start
 """
 
 
+# The same definition over the whole log and with another gap; NULL users are one user.
+LONG_SESSIONS = f"""
+{LOG},
+instants as (select user_id_hashed, timestamp, count(*) as placements from p
+             where timestamp is not null and timestamp < {_ts(SESSION_BORDERS[-1])} group by all),
+marked as (select *, 0 = count(*) over (partition by user_id_hashed order by timestamp
+                                        range between interval {LONG_GAP} seconds preceding
+                                              and interval 1 microsecond preceding) as opens from instants),
+sessions as (select *, count(*) filter (where opens) over (partition by user_id_hashed order by timestamp)
+                         as session_id from marked)
+"""
+
+
 def _mode(key: str, name: str) -> str:
     return f"""with {HALF_OPEN}
 select {key} as {name}, count(*) as placements from f where {key} is not null group by {key} order by placements desc, {name} limit 1"""
@@ -108,6 +126,17 @@ select frames.name, hours, frame_start, frame_end, timeframe, c.k as most_color,
        q.k as most_pixel, q.n as pixel_placements
 from frames left join c on c.name = frames.name left join q on q.name = frames.name"""
 
+SLIDING = f"""slid as (select t as frame_start, t + interval {SLIDE_HOURS} hours as frame_end
+  from range({_ts(SLIDE_START)}, {_ts(SLIDE_END)}, interval 1 hour) as r(t))"""
+
+
+def _slid_tops(key: str, tag: str) -> str:
+    return f"""{tag} as (select * from (
+  select frame_start, k, n, row_number() over (partition by frame_start order by n desc, k) as rn from (
+    select frame_start, {key} as k, count(*) as n from p join slid on timestamp >= frame_start and timestamp < frame_end
+    where {key} is not null group by all)) where rn = 1)"""
+
+
 PER_USER = "per_user as (select count(*) as n from f group by user_id_hashed)"
 PERCENTAGES = (0.5, 0.75, 0.9, 0.99)
 PERCENTILES = " union all ".join(
@@ -181,11 +210,25 @@ select name, hours, frame_start, frame_end, k as coordinate, n as placements fro
     "timeframe_summary": f"with {LOG}, {_frames()}, {COLOR_TOPS}, {CELL_TOPS} {SUMMARY}",
     "timeframe_summary_csv": f"with {RAW}, {_frames()}, {_frame_tops('pixel_color', 'c', 'r')}, "
     f"{_frame_tops('coordinate', 'q', 'r')} {SUMMARY}",
+    "sliding_frame_modes": f"with {LOG}, {SLIDING}, {_slid_tops('pixel_color', 'c')} "
+    "select frame_start, frame_end, k as pixel_color, n as placements from slid left join c using (frame_start)",
+    "sliding_frame_summary": f"with {LOG}, {SLIDING}, {_slid_tops('pixel_color', 'c')}, {_slid_tops(COORDINATE, 'q')} "
+    "select frame_start, frame_end, c.k as most_color, c.n as color_placements, q.k as most_pixel, q.n as pixel_placements "
+    "from slid left join c using (frame_start) left join q using (frame_start)",
     "rank_colors": f"with {FRAMED}, {NAMES}, {RANKED} select * from ranked",
     "color_names": f"with {LOG}, {NAMES} select p.*, {NAMED} from p left join names using (pixel_color)",
     "first_time_users": f"""with {LOG} select count(*) as first_time_users from (
   select user_id_hashed, min(timestamp) as first_placement from p group by user_id_hashed)
 where first_placement >= {_ts(FIRST_START)} and first_placement <= {_ts(FIRST_END)}""",
+    "first_time_users_kept": f"""with {LOG} select count(*) as first_time_users from (
+  select user_id_hashed, min(timestamp) as first_placement from p group by user_id_hashed)
+where first_placement >= {_ts(FIRST_START)} and first_placement <= {_ts(FIRST_END)}""",
+    "sessions_across_loads": f"""with {LONG_SESSIONS}
+select user_id_hashed, min(timestamp) as session_start, max(timestamp) as session_end, cast(sum(placements) as bigint) as placements,
+  extract(epoch from max(timestamp) - min(timestamp)) as session_seconds from sessions group by user_id_hashed, session_id""",
+    "canvas_at_moment": f"""with {LOG} select x, y, pixel_color from (
+  select x, y, pixel_color, row_number() over (partition by x, y order by timestamp desc, pixel_color desc) as rn
+  from p where {PAINTS} and timestamp < {_ts(START)}) where rn = 1""",
     "placement_percentiles": f"with {FRAMED}, {PER_USER} {PERCENTILES}",
     "frame_report": f"""with {SESSIONS}, {NAMES}, {RANKED}, {PER_USER}, pct as ({PERCENTILES})
 select 'color_users' as section, rank as position, color as label, cast(distinct_users as double) as value from ranked

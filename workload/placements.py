@@ -51,9 +51,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
-def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean log."""
-    return _events(spark, sf_dir).selectExpr(*CLEAN)
+def placements(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The clean log, and ``more`` columns of the events."""
+    return _events(spark, sf_dir).selectExpr(*CLEAN, *more)
 
 
 def raw_placements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,9 @@ from workload.placements import placements, raw_placements
 
 START, END = "2024-01-05 12", "2024-01-20 18"
 HOURS = (24, 72, 168)
+SLIDE_START, SLIDE_END, SLIDE_HOURS = "2024-01-01 00", "2024-02-01 00", 6
+SESSION_BORDERS, LONG_GAP = ("2024-01-10 12", "2024-01-20 18", "2030-01-01 00"), 6 * 3600
+SNAPSHOTS = ("2024-01-03 00", "2024-01-05 00", "2024-01-08 00")
 FIRST_START, FIRST_END = "2024-01-01 06", "2024-01-02 00"
 CENTER_X, CENTER_Y, RADIUS = 10, 8, 5
 WIDTH, HEIGHT = 25, 20
@@ -141,6 +144,18 @@ def avg_session_length(spark, sf_dir):
     return average.withColumn("avg_session_seconds", F.round("avg_session_seconds", 6))
 
 
+@query
+def sessions_across_loads(spark, sf_dir):
+    """Sessions of the log in three loads, cut where it is dense."""
+    log = placements(spark, sf_dir)
+    history, before = px.SessionHistory(spark, fresh_path(spark, "sessions"), LONG_GAP), None
+    for border in SESSION_BORDERS:
+        rows = log.where(F.col("timestamp") < moment(border))
+        history.load(border, rows if before is None else rows.where(F.col("timestamp") >= moment(before)))
+        before = border
+    return history.sessions()
+
+
 # Counts and modes
 
 
@@ -186,6 +201,18 @@ def timeframe_summary_csv(spark, sf_dir):
     return px.timeframe_summary(px.timed_raw_log(px.read_raw_csv(spark, path)), START, HOURS)
 
 
+@query
+def sliding_frame_modes(spark, sf_dir):
+    frames = px.sliding_frames(spark, SLIDE_START, SLIDE_END, SLIDE_HOURS)
+    return px.frame_modes(placements(spark, sf_dir), frames, "pixel_color")
+
+
+@query
+def sliding_frame_summary(spark, sf_dir):
+    frames = px.sliding_frames(spark, SLIDE_START, SLIDE_END, SLIDE_HOURS)
+    return px.frames_summary(placements(spark, sf_dir), frames)
+
+
 # Audience
 
 
@@ -204,6 +231,16 @@ def first_time_users(spark, sf_dir):
     return px.count_first_time_users(placements(spark, sf_dir), FIRST_START, FIRST_END)
 
 
+@query
+def first_time_users_kept(spark, sf_dir):
+    """The log in three loads, by event and so without order in time, and the answer from one row per user."""
+    log = placements(spark, sf_dir, "event_id")
+    firsts = px.kept_first_placements(spark, fresh_path(spark, "first-placements"))
+    for part in range(3):
+        firsts.load(f"part {part}", log.where(F.col("event_id") % 3 == part))
+    return px.count_first_time_users_of(firsts.read(), FIRST_START, FIRST_END)
+
+
 @query
 def placement_percentiles(spark, sf_dir):
     values = px.placement_percentiles(placements(spark, sf_dir), START, END)
@@ -271,6 +308,17 @@ def user_canvas(spark, sf_dir):
     return px.user_canvas(log, px.top_users(log, 10), WIDTH, HEIGHT)
 
 
+@query
+def canvas_at_moment(spark, sf_dir):
+    """The canvas from a snapshot and the placements after it."""
+    path = fresh_path(spark, "clean-log")
+    px.write_log(placements(spark, sf_dir), path, folders="day")
+    history = px.CanvasHistory(px.read_log(spark, path), fresh_path(spark, "canvas"))
+    for day in SNAPSHOTS:
+        history.snapshot(day)
+    return history.at(START)
+
+
 @query
 def hex_to_rgb(spark, sf_dir):
     return px.with_rgb(placements(spark, sf_dir))
