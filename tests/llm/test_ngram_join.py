@@ -1,0 +1,139 @@
+"""The n-gram join against all pairs compared one by one."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pixeltide.llm import ngram_join
+from pixeltide.llm.ngram_join import prefix_length, rare_first, shared_by, similar_documents, suffixes
+
+
+def sets_of(text, words=4):
+    found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    if len(found) < words:
+        return {tuple(found)} if found else set()
+    return {tuple(found[i : i + words]) for i in range(len(found) - words + 1)}
+
+
+def brute(rows, percent=85, words=4):
+    sets = [sets_of(t, words) for _, t in rows]
+    known = sorted({i for i, _ in rows if i is not None})
+    least = {i: i for i in known}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a, (i, _) in enumerate(rows):
+        for b, (j, _) in enumerate(rows[:a]):
+            common = len(sets[a] & sets[b])
+            if i is None or j is None or not common:
+                continue
+            if 100 * common >= percent * len(sets[a] | sets[b]):
+                lo, hi = sorted((root(i), root(j)))
+                least[hi] = lo
+    return sorted(((i, len(s), None if i is None else root(i)) for (i, _), s in zip(rows, sets)), key=repr)
+
+
+def found(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def edited(rng, words, changes, vocabulary):
+    words = list(words)
+    for _ in range(changes):
+        words[rng.randrange(len(words))] = rng.choice(vocabulary)
+    return words
+
+
+def corpus(seed, families=10):
+    """Families of copies around the threshold, passages shared by unlike texts, odd rows."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(60)]
+    passage = [rng.choice(vocabulary) for _ in range(55)]
+    texts = [None, "", " \t\n ", "one", "One", "one two three", "ONE two three", "ä b c d", "ä b c d"]
+    for _ in range(families):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([5, 30, 120, 400]))]
+        if rng.random() < 0.5:
+            base[len(base) // 2 : len(base) // 2] = passage
+        for _ in range(rng.randrange(1, 7)):
+            words = edited(rng, base, rng.randrange(0, 1 + len(base) // 40), vocabulary)
+            texts.append(" ".join(words[rng.randrange(2) :]).replace("w1", rng.choice(["w1", "W1"])))
+    texts += [" ".join([*passage, str(i)]) for i in range(12)]
+    order = list(range(3, 3 + len(texts)))
+    rng.shuffle(order)
+    return list(zip(order, texts))
+
+
+@pytest.mark.parametrize("seed, turns, block", [(1, 3, 2000), (2, 0, 3), (3, 1, 2)])
+def test_components_equal_brute_force(spark, docs, monkeypatch, seed, turns, block):
+    monkeypatch.setattr(ngram_join, "ROUNDS", turns)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = corpus(seed)
+    assert found(similar_documents(docs(rows))) == brute(rows)
+
+
+@pytest.mark.parametrize("percent, words", [(60, 2), (100, 3)])
+def test_other_thresholds(spark, docs, percent, words):
+    rows = corpus(8, 6)
+    assert found(similar_documents(docs(rows), percent, words)) == brute(rows, percent, words)
+
+
+def test_repeated_rows_missing_ids_and_several_texts(spark, docs):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(60)) for _ in range(4)]
+    rows = [(5, texts[0]), (5, texts[0]), (9, texts[0]), (7, texts[1]), (9, texts[1]), (None, texts[1]), (None, None), (2, texts[2]), (2, texts[3]), (8, texts[3])]
+    result = {(i, t) for i, _, t in found(similar_documents(docs(rows)))}
+    assert result == {(5, 5), (9, 5), (7, 5), (None, None), (2, 2), (8, 2)}
+
+
+def test_empty_table_and_clashing_columns(spark, docs):
+    assert found(similar_documents(docs([]))) == []
+    rows = [(3, "a b c d e f g"), (4, "A b c d e f g")]
+    table = docs(rows)
+    for name in ("gram", "rep", "n", "label", "component", "id", "bucket", "n_shingles", "component_id", "grams"):
+        table = table.withColumn(name, F.lit("x"))
+    assert found(similar_documents(table)) == [(3, 4, 3), (4, 4, 3)]
+    renamed = table.select(F.col("doc_id").alias("id"), F.col("text").alias("n"))
+    assert found(similar_documents(renamed, id_col="id", text_col="n")) == [(3, 4, 3), (4, 4, 3)]
+
+
+def test_very_long_texts(spark, docs):
+    rng = random.Random(6)
+    words = [f"v{rng.randrange(5000)}" for _ in range(60_000)]
+    other = words[:-3000] + [f"u{k}" for k in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:40_000]))]
+    assert [r[2] for r in found(similar_documents(docs(rows)))] == [1, 1, 3]
+
+
+def test_linked_sets_share_a_prefix_gram_and_pass_the_filters(spark):
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 4, ngram_join.BUCKETS).astype(np.int32)
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "position", "behind_0", "behind_1", "pair", "gram")])
+    left, right, links = [], [], 0
+    for pair in range(60):
+        whole = rng.integers(0, 2**64, 260, dtype=np.uint64)
+        n = int(rng.integers(1, 120))
+        changed = int(rng.integers(0, 1 + n // 10))
+        one, two = np.unique(whole[:n]), np.unique(np.concatenate([whole[changed:n], whole[200 : 200 + changed // 2]]))
+        if 100 * shared_by(one.tobytes(), two.tobytes()) < 85 * len(np.union1d(one, two)):
+            continue
+        links += 1
+        for grams, out in ((one, left), (two, right)):
+            ordered, prefix = rare_first(grams, counts), prefix_length(len(grams), 85)
+            behind = suffixes(ordered, prefix).view(np.int64)
+            out += [(len(grams), k + 1, int(behind[k, 0]), int(behind[k, 1]), pair, int(ordered.view(np.int64)[k])) for k in range(prefix)]
+    a, b = spark.createDataFrame(left, schema).alias("a"), spark.createDataFrame(right, schema).alias("b")
+    met = a.join(b, F.expr(f"a.pair = b.pair and a.gram = b.gram and {ngram_join.may_link('a', 'b', 85)}"))
+    assert links > 20 and met.select("a.pair").distinct().count() == links
+
+
+def test_filters_drop_texts_that_share_a_passage_only(spark, docs):
+    rows = corpus(11, 2)
+    signed = similar_documents(docs(rows))
+    assert signed.select("component_id").distinct().count() > 5
