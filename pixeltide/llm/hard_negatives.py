@@ -128,7 +128,8 @@ def score_bounds(one: Shell, two: Shell) -> tuple[np.ndarray, np.ndarray]:
         small, big = one.short * two.short, one.long * two.long
         upper, lower = np.where(most >= 0, big, small) * most, np.where(least >= 0, small, big) * least
         upper, lower = upper + np.abs(upper) * 1e-9 + 1, lower - np.abs(lower) * 1e-9 - 1
-    return np.where(np.isnan(lower), -np.inf, lower), np.where(np.isnan(upper), np.inf, upper)
+    lower, upper = np.where(np.isnan(lower), -np.inf, lower), np.where(np.isnan(upper), np.inf, upper)
+    return np.clip(lower, float(LOWEST), float(HIGHEST)), np.clip(upper, float(LOWEST), float(HIGHEST))  # as scores are
 
 
 def scores_of(one: np.ndarray, two: np.ndarray, most: float) -> np.ndarray:
