@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,33 @@ def query(function: Query) -> Query:
     return function
 
 
+#: Seconds spent on input that a query writes for itself before it does its work.
+FIXTURES: list[float] = []
+
+
+@contextmanager
+def _fixture():
+    started = time.perf_counter()
+    yield
+    FIXTURES.append(time.perf_counter() - started)
+
+
+def _raw_csv(spark, sf_dir) -> str:
+    """Path of the raw log as CSV."""
+    path = fresh_path(spark, "raw-log")
+    with _fixture():
+        raw_placements(spark, sf_dir).write.option("header", True).csv(path)
+    return path
+
+
+def _day_log(spark, sf_dir, order="tile"):
+    """The clean log, written with day folders and read again."""
+    path = fresh_path(spark, "clean-log")
+    with _fixture():
+        px.write_log(placements(spark, sf_dir), path, folders="day", order=order)
+    return px.read_log(spark, path)
+
+
 def _framed(spark, sf_dir, end_inclusive=True):
     return px.within_frame(placements(spark, sf_dir), START, END, end_inclusive)
 
@@ -42,9 +71,7 @@ def _framed(spark, sf_dir, end_inclusive=True):
 
 @query
 def csv_ingest(spark, sf_dir):
-    path = fresh_path(spark, "raw-log")
-    raw_placements(spark, sf_dir).write.option("header", True).csv(path)
-    return px.ingest_csv(spark, path).select("timestamp", "pixel_color", "x", "y")
+    return px.ingest_csv(spark, _raw_csv(spark, sf_dir)).select("timestamp", "pixel_color", "x", "y")
 
 
 @query
@@ -56,16 +83,12 @@ def parquet_roundtrip(spark, sf_dir):
 
 @query
 def frame_of_clustered_log(spark, sf_dir):
-    path = fresh_path(spark, "clean-log")
-    px.write_log(placements(spark, sf_dir), path, folders="day")
-    return px.within_frame(px.read_log(spark, path), START, END).select(*CLEAN.fieldNames())
+    return px.within_frame(_day_log(spark, sf_dir), START, END).select(*CLEAN.fieldNames())
 
 
 @query
 def region_of_clustered_log(spark, sf_dir):
-    path = fresh_path(spark, "clean-log")
-    px.write_log(placements(spark, sf_dir), path, folders="day", order="tile")
-    inside = px.within_frame(px.read_log(spark, path), START, END)
+    inside = px.within_frame(_day_log(spark, sf_dir), START, END)
     return inside.filter(px.in_box(CENTER_X, CENTER_Y, RADIUS)).select(*CLEAN.fieldNames())
 
 
@@ -196,9 +219,7 @@ def timeframe_summary(spark, sf_dir):
 
 @query
 def timeframe_summary_csv(spark, sf_dir):
-    path = fresh_path(spark, "raw-log")
-    raw_placements(spark, sf_dir).write.option("header", True).csv(path)
-    return px.timeframe_summary(px.timed_raw_log(px.read_raw_csv(spark, path)), START, HOURS)
+    return px.timeframe_summary(px.timed_raw_log(px.read_raw_csv(spark, _raw_csv(spark, sf_dir))), START, HOURS)
 
 
 @query
@@ -311,9 +332,7 @@ def user_canvas(spark, sf_dir):
 @query
 def canvas_at_moment(spark, sf_dir):
     """The canvas from a snapshot and the placements after it."""
-    path = fresh_path(spark, "clean-log")
-    px.write_log(placements(spark, sf_dir), path, folders="day")
-    history = px.CanvasHistory(px.read_log(spark, path), fresh_path(spark, "canvas"))
+    history = px.CanvasHistory(_day_log(spark, sf_dir), fresh_path(spark, "canvas"))
     for day in SNAPSHOTS:
         history.snapshot(day)
     return history.at(START)
