@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixeltide.functions.color import with_color_names
@@ -25,19 +25,15 @@ def ranked_colors(per_color: DataFrame) -> DataFrame:
     task: a histogram over (users, first characters of the code) gives what
     comes before each group, and codes are numbered within their group.
     """
-    prefix = F.substring(F.coalesce("pixel_color", F.lit("")), 1, PREFIX)
     # NULL sorts before all codes, as in an ORDER BY.
-    grouped = per_color.withColumn("prefix", prefix)
-    before = Window.orderBy(F.desc("distinct_users"), "prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        grouped.groupBy("distinct_users", "prefix")
-        .agg(F.count("*").alias("codes"))
-        .select("distinct_users", "prefix", F.coalesce(F.sum("codes").over(before), F.lit(0)).alias("offset"))
-    )
-    within = Window.partitionBy("distinct_users", "prefix").orderBy("pixel_color")
-    numbered = grouped.withColumn("number", F.row_number().over(within)).join(offsets, ["distinct_users", "prefix"])
-    return with_color_names(numbered).select(
-        (F.col("offset") + F.col("number")).cast("int").alias("rank"), "pixel_color", "color", "distinct_users"
+    grouped = per_color.selectExpr("*", f"substring(coalesce(pixel_color, ''), 1, {PREFIX}) as prefix")
+    before = "over (order by distinct_users desc, prefix rows between unbounded preceding and 1 preceding)"
+    offsets = grouped.groupBy("distinct_users", "prefix").agg(F.expr("count(*) as codes"))
+    offsets = offsets.selectExpr("distinct_users", "prefix", f"coalesce(sum(codes) {before}, 0) as offset")
+    number = "row_number() over (partition by distinct_users, prefix order by pixel_color) as number"
+    numbered = grouped.selectExpr("*", number).join(offsets, ["distinct_users", "prefix"])
+    return with_color_names(numbered).selectExpr(
+        "cast(offset + number as int) as rank", "pixel_color", "color", "distinct_users"
     )
 
 
@@ -47,18 +43,14 @@ def percentiles_of(per_user: DataFrame, percentages: Sequence[float]) -> DataFra
     Users are first folded into a histogram (how many users have n), so the
     last task sees one row per distinct n and not one per user.
     """
-    histogram = per_user.groupBy("n").agg(F.count("*").alias("users"))
-    wanted = F.array(*[F.lit(float(p)) for p in percentages])
-    values = histogram.agg(F.percentile("n", wanted, F.col("users")).alias("values"))
-    rows = [
-        F.struct(
-            F.lit(float(p)).alias("percentile"),
-            F.col("values")[i].alias("placements"),
-            F.col("values")[i].cast("int").alias("whole_placements"),
-        )
+    histogram = per_user.groupBy("n").agg(F.expr("count(*) as users"))
+    wanted = ", ".join(f"{float(p)!r}D" for p in percentages)
+    rows = ", ".join(
+        f"named_struct('percentile', {float(p)!r}D, 'placements', values[{i}], 'whole_placements', cast(values[{i}] as int))"
         for i, p in enumerate(percentages)
-    ]
-    return values.select(F.inline(F.array(*rows)))
+    )
+    values = histogram.agg(F.expr(f"percentile(n, array({wanted}), users) as values"))
+    return values.selectExpr(f"inline(array({rows}))")
 
 
 def rank_colors_by_distinct_users(

@@ -16,10 +16,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.functions.time import Moment, seconds_between
+from pixeltide.functions.time import Moment
 from pixeltide.operators.filters import within_frame
 
 GAP_SECONDS = 900
@@ -43,46 +43,39 @@ def _same_user_and(log: DataFrame, other: DataFrame, *keys: str) -> Column:
 
 def folded(log: DataFrame, gap_seconds: int) -> DataFrame:
     """One row per user and window: first, last and count."""
-    return (
-        log.select("user_id_hashed", "timestamp", session_slot(gap_seconds).alias("slot"))
-        .groupBy("user_id_hashed", "slot")
-        .agg(
-            F.min("timestamp").alias("first_placed"),
-            F.max("timestamp").alias("last_placed"),
-            F.count("*").alias("placements"),
-        )
+    slots = log.select("user_id_hashed", "timestamp", session_slot(gap_seconds).alias("slot"))
+    return slots.groupBy("user_id_hashed", "slot").agg(
+        F.expr("min(timestamp) as first_placed"), F.expr("max(timestamp) as last_placed"), F.expr("count(*) as placements")
     )
 
 
+# Told as SQL text: each Python column is several calls to the JVM, which add up in plans of many operators.
+
+
 def _numbered(slots: DataFrame, gap_seconds: int) -> DataFrame:
     """Folded rows with the session each is part of."""
-    by_user = Window.partitionBy("user_id_hashed").orderBy("first_placed")
-    previous = F.lag("last_placed").over(by_user)
-    gap = F.make_dt_interval(secs=F.lit(_whole(gap_seconds)))
-    starts = previous.isNull() | (F.col("first_placed") - previous > gap)
-    return slots.withColumn("new_session", F.when(starts, 1).otherwise(0)).withColumn(
-        "session_id", F.sum("new_session").over(by_user)
-    )
+    by_user = "over (partition by user_id_hashed order by first_placed)"
+    pause = f"first_placed - lag(last_placed) {by_user}"
+    goes_on = f"coalesce({pause} <= make_dt_interval(0, 0, 0, {_whole(gap_seconds)}), false)"
+    flagged = slots.selectExpr("*", f"case when {goes_on} then 0 else 1 end as new_session")
+    return flagged.selectExpr("*", f"sum(new_session) {by_user} as session_id")
 
 
 def sessions_of(slots: DataFrame, gap_seconds: int) -> DataFrame:
     """One row per session of folded rows (user, slot, first_placed, last_placed, placements)."""
-    return (
-        _numbered(slots, gap_seconds)
-        .groupBy("user_id_hashed", "session_id")
-        .agg(
-            F.min("first_placed").alias("session_start"),
-            F.max("last_placed").alias("session_end"),
-            F.sum("placements").alias("placements"),
-        )
-        .withColumn("session_seconds", seconds_between("session_start", "session_end"))
+    sessions = _numbered(slots, gap_seconds).groupBy("user_id_hashed", "session_id").agg(
+        F.expr("min(first_placed) as session_start"),
+        F.expr("max(last_placed) as session_end"),
+        F.expr("sum(placements) as placements"),
     )
+    length = "cast(session_end - session_start as interval second)"
+    return sessions.selectExpr("*", f"cast(cast({length} as decimal(18, 6)) as double) as session_seconds")
 
 
 def average_of(sessions: DataFrame) -> DataFrame:
     """Average seconds and number of the sessions with more than one placement."""
     return sessions.filter("placements > 1").agg(
-        F.avg("session_seconds").alias("avg_session_seconds"), F.count("*").alias("sessions")
+        F.expr("avg(session_seconds) as avg_session_seconds"), F.expr("count(*) as sessions")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -24,28 +25,19 @@ class FrameReport(NamedTuple):
     def as_table(self) -> DataFrame:
         """All answers as ``(section, position, label, value)`` rows of one plan."""
 
-        def rows(df: DataFrame, section: str, position, label, value) -> DataFrame:
-            return df.select(
-                F.lit(section).alias("section"),
-                position.cast("int").alias("position"),
-                label.alias("label"),
-                value.cast("double").alias("value"),
-            )
+        def rows(df: DataFrame, section: str, position: str, label: str, value: str) -> DataFrame:
+            return df.selectExpr(
+                f"'{section}' as section", f"cast({position} as int) as position",
+                f"cast({label} as string) as label", f"cast({value} as double) as value",
+            )
 
-        one, none = F.lit(1), F.lit(None).cast("string")
-        percent = F.round(F.col("percentile") * 100).cast("int")
-        return (
-            rows(self.colors, "color_users", F.col("rank"), F.col("color"), F.col("distinct_users"))
-            .unionByName(
-                rows(self.average_session, "average_session_seconds", one, none, F.col("avg_session_seconds"))
-            )
-            .unionByName(
-                rows(self.percentiles, "placement_percentile", percent, none, F.col("placements"))
-            )
-            .unionByName(
-                rows(self.first_time_users, "first_time_users", one, none, F.col("first_time_users"))
-            )
+        parts = (
+            rows(self.colors, "color_users", "rank", "color", "distinct_users"),
+            rows(self.average_session, "average_session_seconds", "1", "null", "avg_session_seconds"),
+            rows(self.percentiles, "placement_percentile", "round(percentile * 100)", "null", "placements"),
+            rows(self.first_time_users, "first_time_users", "1", "null", "first_time_users"),
         )
+        return reduce(DataFrame.union, parts)
 
 
 def frame_report(
@@ -63,23 +55,15 @@ def frame_report(
     the shuffle of the folded rows. That needs the same columns in each of
     them, hence the filter, which keeps all and lets none be pruned.
     """
-    folded = (
-        within_frame(log, start, end, end_inclusive=True)
-        .withColumn("slot", session_slot(gap_seconds))
-        .groupBy("user_id_hashed", "slot", "pixel_color")
-        .agg(
-            F.min("timestamp").alias("first_placed"),
-            F.max("timestamp").alias("last_placed"),
-            F.count("*").alias("placements"),
-        )
-        .filter("placements > 0 and first_placed <= last_placed")
+    inside = within_frame(log, start, end, end_inclusive=True).withColumn("slot", session_slot(gap_seconds))
+    folded = inside.groupBy("user_id_hashed", "slot", "pixel_color").agg(
+        F.expr("min(timestamp) as first_placed"), F.expr("max(timestamp) as last_placed"), F.expr("count(*) as placements")
     )
-    per_color = folded.groupBy("pixel_color").agg(F.count_distinct("user_id_hashed").alias("distinct_users"))
-    per_user = folded.groupBy("user_id_hashed").agg(F.sum("placements").alias("n"))
+    folded = folded.filter("placements > 0 and first_placed <= last_placed")
+    per_color = folded.groupBy("pixel_color").agg(F.expr("count(distinct user_id_hashed) as distinct_users"))
+    per_user = folded.groupBy("user_id_hashed").agg(F.expr("sum(placements) as n"))
     slots = folded.groupBy("user_id_hashed", "slot").agg(
-        F.min("first_placed").alias("first_placed"),
-        F.max("last_placed").alias("last_placed"),
-        F.sum("placements").alias("placements"),
+        F.expr("min(first_placed) as first_placed"), F.expr("max(last_placed) as last_placed"), F.expr("sum(placements) as placements")
     )
     return FrameReport(
         ranked_colors(per_color),
