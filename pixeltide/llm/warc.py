@@ -2,8 +2,10 @@
 
 An archive is a folder ``file=N`` per WARC file, written by Spark's text writer;
 records end with an empty line, so the writer's separator completes them. The
-reader follows Content-Length, byte for byte, and goes on at the next record
-header where a record is broken.
+reader unpacks all gzip members of a file, follows Content-Length, byte for
+byte, and goes on at the next record header where a record is broken. Bytes
+that belong to no record (before, between or behind them, or what no longer
+unpacks) are leaves too, without an id: every byte lies under the root.
 
 The tree of a file has its records, by offset, as leaves. The nodes above cover
 ranges of offsets, 64 KiB wide on the first level and 16 times as wide on each
@@ -21,7 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixeltide.sources.shared_folder import stored
@@ -59,10 +61,18 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def records_of(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
-    """(offset, id, bytes) of the records of an archive's content, headers included, closing lines not."""
+    """(offset, id, bytes) of the records of an archive's content, headers included, closing lines not.
+
+    Other bytes come with an empty id. Only the empty lines that close a whole record are in no leaf.
+    """
     at = 0
-    while (found := _START.search(data, at)) is not None:
-        start = found.start()
+    while at < len(data):
+        found = _START.search(data, at)
+        start = found.start() if found else len(data)
+        if start > at:  # no record's
+            yield at, b"", data[at:start]
+        if found is None:
+            return
         head = data.find(b"\r\n\r\n", start)
         header = data[start : head if head >= 0 else len(data)]
         length, record_id = _LENGTH.search(header), _ID.search(header)
@@ -70,22 +80,38 @@ def records_of(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
             end = len(data)
         else:
             end = head + 4 + int(length.group(1))
-        following = _START.search(data, start + 1)
-        if end > len(data) or data[end : end + 4] != b"\r\n\r\n":  # broken: up to the next header
+        whole = data[end : end + 4] == b"\r\n\r\n"
+        if not whole:  # broken: up to the next header
+            following = _START.search(data, start + 1)
             end = following.start() if following else len(data)
         yield start, record_id.group(1) if record_id else b"", data[start:end]
-        at = end
+        at = end + 4 * whole
+
+
+def unpacked(data: bytes) -> bytes:
+    """The content of a file: all of its gzip members one after the other; what does not unpack stays as it is."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        out.append(member.flush())
+        data = member.unused_data
+    return b"".join([*out, data])
 
 
 def read_leaves(spark: SparkSession, path: str) -> DataFrame:
-    """file, offset, length, record_id, digest of every record in an archive; offsets are those of the unpacked file."""
+    """file, offset, length, record_id, digest of every record in an archive; offsets are those of the unpacked file.
+
+    A file is unpacked and read by one task, which holds it. An empty file has no rows.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(*batch.columns):
-                data = content.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    data = zlib.decompress(data, 31)
+                data = unpacked(content.as_py())
                 rows = [
                     (file.as_py(), at, len(r), i.decode("utf-8", "replace"), hashlib.sha256(r).hexdigest())
                     for at, i, r in records_of(data)
@@ -114,9 +140,9 @@ def trees(leaves: DataFrame) -> list[DataFrame]:
     return levels[::-1]
 
 
-def _differing(one: DataFrame, two: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def _differing(one: DataFrame, two: DataFrame) -> DataFrame:
     """Nodes of two levels whose digests differ or that one side lacks."""
-    side = lambda df, n: df.select("file", "at", *(F.col(c).alias(f"{c}_{n}") for c in ("digest", *keep)))
+    side = lambda df, n: df.select("file", "at", F.col("digest").alias(f"digest_{n}"))
     return side(one, 1).join(side(two, 2), ["file", "at"], "full_outer").where("not digest_1 <=> digest_2")
 
 
@@ -125,8 +151,12 @@ def audit(one: DataFrame, two: DataFrame) -> DataFrame:
 
     ``one`` and ``two`` are written tables as of ``read_leaves``. Result: file,
     offset, record_id, length, digest (of the first replica, or of the second
-    where the first has no record there), found (digest in the second; null if
-    it has none). Equal replicas give no rows.
+    where the first has no such record), found (digest in the second; null if
+    it has none, or if only it has the record). Equal replicas give no rows.
+    After a record that grew, shrank or went missing all others have moved:
+    within the branches that differ, records are matched by file, id and digest
+    first, so those that merely moved are left out, then by file and id.
+    Records of one id are matched in the order of their offsets.
     """
     first, second = trees(one), trees(two)
     open_ = _differing(first[0], second[0]).select("file", "at")
@@ -138,16 +168,24 @@ def audit(one: DataFrame, two: DataFrame) -> DataFrame:
         )
         open_ = _differing(one_level, two_level).select("file", "at")
     parents = stored(open_.toDF("file", "up"), "open")
-    leaves = (
-        t.withColumn("at", F.col("offset")).withColumn("up", F.expr(f"offset div {RANGE}")).join(parents, ["file", "up"], "left_semi")
-        for t in (one, two)
+    first, second = (
+        t.withColumn("up", F.expr(f"offset div {RANGE}")).join(parents, ["file", "up"], "left_semi").drop("up") for t in (one, two)
     )
-    found = _differing(*leaves, keep=("record_id", "length"))
+    apart = []
+    key = ["file", "record_id", "digest"]
+    sides = [_numbered(side, *key) for side in (first, second)]
+    for side, other in (sides, sides[::-1]):
+        left = side.join(other.select(*key, "nth"), [*key, "nth"], "left_anti").drop("nth")
+        apart.append(stored(_numbered(left, "file", "record_id"), "apart"))
+    names = ("offset", "length", "digest")
+    a, b = (df.select("file", "record_id", "nth", *(F.col(c).alias(f"{c}_{n}") for c in names)) for n, df in enumerate(apart, 1))
+    found = a.join(b, ["file", "record_id", "nth"], "full_outer")
+    either = [F.coalesce(f"{c}_1", f"{c}_2").alias(c) for c in names]
     return found.select(
-        "file",
-        F.col("at").alias("offset"),
-        F.coalesce("record_id_1", "record_id_2").alias("record_id"),
-        F.coalesce("length_1", "length_2").alias("length"),
-        F.coalesce("digest_1", "digest_2").alias("digest"),
-        F.when(F.col("digest_1").isNotNull(), F.col("digest_2")).alias("found"),
+        "file", either[0], "record_id", *either[1:], F.when(F.col("digest_1").isNotNull(), F.col("digest_2")).alias("found")
     )
+
+
+def _numbered(leaves: DataFrame, *key: str) -> DataFrame:
+    """``leaves`` plus ``nth``: their number among those of one key, by offset."""
+    return leaves.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("offset")))

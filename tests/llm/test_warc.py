@@ -32,10 +32,61 @@ def test_broken_records_do_not_hide_the_next_one():
     good = b"WARC/1.0\r\nWARC-Record-ID: <b>\r\nContent-Length: 2\r\n\r\nhi"
     data = b"WARC/1.0\r\nWARC-Record-ID: <a>\r\nContent-Length: 999\r\n\r\nhello\r\n\r\n" + good + b"\r\n\r\n"
     assert [(i, r) for _, i, r in warc.records_of(data)][1] == (b"b", good)
-    assert list(warc.records_of(b"")) == [] and list(warc.records_of(b"junk")) == []
+    assert list(warc.records_of(b"")) == [] and list(warc.records_of(b"junk")) == [(0, b"", b"junk")]
     assert len(list(warc.records_of(b"WARC/1.0\r\ntruncated"))) == 1
 
 
+def record(name, body):
+    return f"WARC/1.0\r\nWARC-Record-ID: <{name}>\r\nContent-Length: {len(body)}\r\n\r\n{body}".encode()
+
+
+def archive(folder, records, junk=b"", members=True, cut=0):
+    """A real file with one gzip member for each record."""
+    parts = [r + b"\r\n\r\n" for r in records] + ([junk] if junk else [])
+    packed = b"".join(map(gzip.compress, parts)) if members else gzip.compress(b"".join(parts))
+    (folder / "file=0").mkdir(parents=True)
+    (folder / "file=0" / "a.warc.gz").write_bytes(packed[: len(packed) - cut])
+    return str(folder)
+
+
+def test_all_gzip_members_and_all_bytes_are_read(spark, tmp_path):
+    records = [record(f"r{k}", "x" * k) for k in range(7)]
+    wanted = [hashlib.sha256(r).hexdigest() for r in records]
+    for name, members in (("one", False), ("many", True)):
+        found = warc.read_leaves(spark, archive(tmp_path / name, records, members=members)).orderBy("offset").collect()
+        assert [r.digest for r in found] == wanted
+    junk = warc.read_leaves(spark, archive(tmp_path / "junk", records, b"?" * 800)).orderBy("offset").collect()
+    assert [r.digest for r in junk[:-1]] == wanted and (junk[-1].record_id, junk[-1].length) == ("", 800)
+    short = warc.read_leaves(spark, archive(tmp_path / "short", records, cut=30)).collect()
+    assert set(wanted[:6]) <= {r.digest for r in short} and wanted[6] not in {r.digest for r in short}
+    behind = tmp_path / "behind"
+    archive(behind, records)
+    with open(behind / "file=0" / "a.warc.gz", "ab") as file:
+        file.write(b"\x1f\x8bno member")
+    assert warc.read_leaves(spark, str(behind)).where("record_id = ''").first().length == 11
+    every = warc.unpacked((behind / "file=0" / "a.warc.gz").read_bytes())
+    assert b"".join(r for _, _, r in warc.records_of(every)) == every.replace(b"\r\n\r\nWARC", b"WARC").replace(b"\r\n\r\n\x1f", b"\x1f")
+
+
+def test_a_lost_grown_or_cut_record_is_all_that_is_reported(spark, tmp_path):
+    records = [record(f"r{k}", f"{k} " * 9000) for k in range(40)]
+    read = lambda name, rs, junk=b"": stored(warc.read_leaves(spark, archive(tmp_path / name, rs, junk)), "leaves")
+    one = read("one", records)
+    grown = record("r5", "5 " * 9000 + "more")
+    cut = records[20][:-100]
+    for name, copy, ids in (
+        ("lost", records[:7] + records[8:], {"r7"}),
+        ("grown", records[:5] + [grown] + records[6:], {"r5"}),
+        ("cut", records[:20] + [cut] + records[21:], {"r20"}),
+        ("extra", records + [record("r99", "new")], {"r99"}),
+        ("all", records[:5] + [grown] + records[6:7] + records[8:20] + [cut] + records[21:], {"r5", "r7", "r20"}),
+    ):
+        found = warc.audit(one, read(name, copy)).collect()
+        assert {r.record_id for r in found} == ids and len(found) == len(ids), name
+    (junk,) = warc.audit(one, read("junk", records, b"?" * 800)).collect()
+    assert junk.record_id == "" and junk.length == 800 and junk.found is None
+
+
 def leaves(spark, rows, damage=()):
     rows = [(f, o, 10, f"r{f}-{o}", "bad" if (f, o) in damage else f"d{f}-{o}") for f, o in rows]
     return stored(spark.createDataFrame(rows, LEAF), "leaves")
