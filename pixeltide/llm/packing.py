@@ -80,11 +80,15 @@ def plan_sequences(histogram: dict[int, int], width: int) -> list[Slot]:
     return slots
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def _word_ids(path: str) -> tuple[WordIds, dict[str, int]]:
-    tokenizer = Tokenizer.from_file(path)
-    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return WordIds(lambda word: tokenizer.encode(word, add_special_tokens=False).ids, REMEMBERED), special
+    """Memory of words, and special tokens; the library takes its memory only when a word asks for it."""
+    return WordIds(lambda word: _tokenizer(path).encode(word, add_special_tokens=False).ids, REMEMBERED), merges(path).special
 
 
 def cuts(tokens: int, width: int) -> list[tuple[int, int]]:

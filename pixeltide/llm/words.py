@@ -77,7 +77,9 @@ class Merges:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            content = json.load(file)
+        model = content["model"]
+        self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         ids, letters = model["vocab"], {b: c for c, b in _byte_letters().items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         left, right = (np.array([ids[p[k]] for p in pairs], np.int64) for k in (0, 1))
