@@ -273,17 +273,21 @@ def _op10_sql(limits: secrets.Entropy = secrets.Entropy()) -> str:
     # A run of hex digits is one match, so short ones may be left to the pattern: far fewer matches to place.
     base = [(k, f"[0-9a-f]{{{least},}}" if k == "hex" else p, g, least) for k, p, g, least in secrets.BASE]
     spans = [_spans_sql(rank, *b) for rank, b in enumerate(base)]
+    known = " and ".join(
+        [f"regexp_matches(hit, '{p}')" for p in secrets.JOINED] + [f"not regexp_matches(hit, '{p}')" for p in secrets.NOT_JOINED]
+    )
     # The engine has no back references: repetition is said without one.
-    known = " or ".join(f"regexp_matches(hit, '{a}')" for a in secrets.ALLOWED if "\\1" not in a)
-    repeated = " or ".join(f"hit = repeat(hit[1:{k}], length(hit) // {k}) and length(hit) > {k}" for k in range(1, 9))
+    repeated = " or ".join(f"p = repeat(p[1:{k}], length(p) // {k}) and length(p) > {k}" for k in range(1, 9))
+    high = f"""length(p) >= {n} and regexp_matches(p, '[0-9]') and regexp_matches(p, '[A-Za-z]') and not ({repeated})
+      and list_max(list_transform(range(1, length(p) - {n} + 2), lambda i: list_entropy(string_split(p[i:i + {n} - 1], ''))))
+        >= case when regexp_full_match(p, '[0-9a-fA-F]+') then {limits.hex}
+                when regexp_full_match(p, '[0-9A-Za-z]+') then {limits.alnum} else {limits.base64} end - 1e-9"""
     return f"""
 with docs as (select doc_id, coalesce(text, '') as t from documents),
 found as ({" union all ".join(spans)} union all
   select * from ({_spans_sql(len(spans), "entropy", runs, 0, n)})
-  where regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Za-z]') and not ({known}) and not ({repeated})
-    and list_max(list_transform(range(1, length(hit) - {n} + 2), lambda i: list_entropy(string_split(hit[i:i + {n} - 1], ''))))
-      >= case when regexp_full_match(hit, '[0-9a-fA-F]+') then {limits.hex}
-              when regexp_full_match(hit, '[0-9A-Za-z]+') then {limits.alnum} else {limits.base64} end - 1e-9
+  where not regexp_matches(hit, '{secrets.UUID}') and not ({known})
+    and len(list_filter(string_split(regexp_replace(hit, '{secrets.DOCUMENTATION}', ' ', 'g'), ' '), lambda p: {high})) > 0
 )
 select doc_id, {", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in ("assign", "access", "hex"))},
   sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank)
