@@ -43,7 +43,7 @@ from pixeltide.operators.users import top_users, user_positions
 from pixeltide.plans.frame_report import FrameReport, frame_report
 from pixeltide.sources.clean_log import read_log, write_log
 from pixeltide.sources.kept_table import KeptTable
-from pixeltide.sources.raw_csv import clean_log, ingest_csv, read_raw_csv, timed_raw_log
+from pixeltide.sources.raw_csv import Ingested, checked_csv, clean_log, ingest_checked, ingest_csv, read_raw_csv, timed_raw_log
 
 __all__ = [
     "CanvasHistory",
@@ -53,7 +53,10 @@ __all__ = [
     "at_pixels",
     "average_session_length",
     "canvas_region",
+    "Ingested",
+    "checked_csv",
     "clean_log",
+    "ingest_checked",
     "color_names_table",
     "coordinate_text",
     "count_by",

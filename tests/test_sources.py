@@ -220,3 +220,36 @@ def test_tables_go_to_the_shared_folder_and_are_removed(spark):
     assert kept.count() == 5 and list(Path(folder).glob("removed-*"))
     drop_all(spark)
     assert not list(Path(folder).glob("removed-*"))
+
+
+def test_checked_ingest_puts_every_line_in_one_result(spark, tmp_path):
+    head = "timestamp,user_id,pixel_color,coordinate\n"
+    good = '2022-04-01 12:00:00 UTC,a,#FFFFFF,"1,2"'
+    bad = {
+        "columns": ["2022-04-01 12:00:00 UTC,a", good + ",more", good[:-1], good.replace("#", '"#')],
+        "timestamp": ['bad,a,#FFFFFF,"1,2"', ',a,#FFFFFF,"1,2"'],
+        "coordinate": ['2022-04-01 12:00:00 UTC,a,#FFFFFF,"1,two"', "2022-04-01 12:00:00 UTC,a,#FFFFFF,"],
+    }
+    lines = [good, good, '2022-04-01 12:00:00 UTC,,,"3,4,5,6"', *(line for each in bad.values() for line in each)]
+    (tmp_path / "a.csv").write_text(head + "\n".join(lines) + "\n\n")
+    (tmp_path / "b.csv").write_text(head + good + "\n")
+    (tmp_path / "c.csv").write_text(head)
+    got = px.ingest_checked(spark, str(tmp_path))
+    assert got.accepted.schema.simpleString() == CLEAN.simpleString()
+    assert rows_of(got.accepted, "pixel_color", "x", "y") == [("#FFFFFF", 1, 2)] * 3 + [(None, 3, 4)]
+    assert got.accepted.count() + got.rejected.count() == len(lines) + 1
+    rejected = sorted((r.reason, r.line) for r in got.rejected.collect())
+    assert rejected == sorted((reason, line) for reason, each in bad.items() for line in each)
+    assert {r.file.rsplit("/", 1)[1] for r in got.rejected.collect()} == {"a.csv"}
+    assert plan(px.checked_csv(spark, str(tmp_path))).count("FileScan text") == 1
+    assert px.checked_csv(spark, str(tmp_path)).select("pixel_color").where("reason is null").count() == 4
+    clean = px.ingest_csv(spark, str(tmp_path / "b.csv"))
+    assert px.ingest_checked(spark, str(tmp_path / "b.csv")).accepted.collect() == clean.collect()
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.csv").write_text("timestamp,user_id\n")
+    with pytest.raises(ValueError, match="pixel_color"):
+        px.checked_csv(spark, str(tmp_path / "d"))
+    (tmp_path / "d" / "x.csv").write_text(head + good + "\n")
+    (tmp_path / "d" / "y.csv").write_text("user_id,timestamp,pixel_color,coordinate\n")
+    with pytest.raises(Exception, match="other order of columns"):
+        px.checked_csv(spark, str(tmp_path / "d")).collect()
