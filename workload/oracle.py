@@ -179,6 +179,7 @@ def _pixel_colors(condition: str) -> str:
 
 ORACLE: dict[str, str] = {
     "csv_ingest": f"with {RAW} select timestamp, pixel_color, x, y from r",
+    "csv_checked": f"with {RAW} select timestamp, pixel_color, x, y, if(timestamp is null, 'timestamp', null) as reason from r",
     "parquet_roundtrip": f"with {LOG} select * from p",
     "frame_of_clustered_log": f"with {HALF_OPEN} select * from f",
     "split_coordinates": f"with {RAW} select coordinate, x, y from r",

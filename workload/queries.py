@@ -74,6 +74,11 @@ def csv_ingest(spark, sf_dir):
     return px.ingest_csv(spark, _raw_csv(spark, sf_dir)).select("timestamp", "pixel_color", "x", "y")
 
 
+@query
+def csv_checked(spark, sf_dir):
+    return px.checked_csv(spark, _raw_csv(spark, sf_dir)).select("timestamp", "pixel_color", "x", "y", "reason")
+
+
 @query
 def parquet_roundtrip(spark, sf_dir):
     path = fresh_path(spark, "clean-log")
