@@ -7,9 +7,10 @@ of phrases times the bits that name a place in the sample, per character,
 estimates the cross entropy; the language with the least wins.
 
 A suffix automaton of each sample finds longest phrases in one step a
-character. The automata of all languages share one transition table with the
-restart folded in, so many segments of many texts are parsed at once, one
-gather for each character position.
+character. The automata of all languages lie in one table of moves that holds
+edges only, so many segments of many texts are parsed at once, one look into
+it for each character position, and large scripts take no more memory than
+small ones.
 
 Texts are compared in lower case; everything that is no letter counts as one
 blank, so layout, digits and junk do not matter. Whole texts are parsed, in
@@ -32,7 +33,9 @@ from pixeltide.llm.workers import slices
 #: Characters of a segment, and bytes of texts parsed at once.
 SEGMENT, TOGETHER = 1024, 1_000_000
 #: Fixed classes of characters; letters of the samples follow.
-BLANK, END, OTHER = 0, 1, 2
+BLANK, OTHER = 0, 1
+#: Share of the slots of the table of moves that hold an edge, but for one more slot a state.
+FILLED = 0.8
 
 
 class Sample(NamedTuple):
@@ -42,77 +45,121 @@ class Sample(NamedTuple):
     text: str
 
 
-def suffix_automaton(codes: np.ndarray, classes: int) -> np.ndarray:
-    """Transitions [state, class] of the automaton of all substrings of ``codes``; -1 where there is none."""
-    table = np.full((2 * len(codes) + 1, classes), -1, np.int32)
-    link, longest, last, states = [-1], [0], 0, 1
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """Edges {class: state} of each state of the automaton of all substrings of ``codes``; state 0 is the root.
+
+    There are at most two states and three edges for each character, whatever the alphabet.
+    """
+    edges: list[dict[int, int]] = [{}]
+    link, longest, last = [-1], [0], 0
     for c in codes.tolist():
-        column = table[:, c]
-        new, states = states, states + 1
+        new = len(edges)
+        edges.append({})
         longest.append(longest[last] + 1)
         link.append(0)
         at = last
-        while at >= 0 and column[at] < 0:
-            column[at] = new
+        while at >= 0 and c not in edges[at]:
+            edges[at][c] = new
             at = link[at]
         if at >= 0:
-            there = int(column[at])
+            there = edges[at][c]
             if longest[there] == longest[at] + 1:
                 link[new] = there
             else:
-                split, states = states, states + 1
-                table[split] = table[there]
+                split = len(edges)
+                edges.append(edges[there].copy())
                 longest.append(longest[at] + 1)
                 link.append(link[there])
                 link[there] = link[new] = split
-                while at >= 0 and column[at] == there:
-                    column[at] = split
+                while at >= 0 and edges[at].get(c) == there:
+                    edges[at][c] = split
                     at = link[at]
         last = new
-    return table[:states]
+    return edges
+
+
+def _placed(degrees: np.ndarray, classes: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """A base of each state, and the number of slots, so that no two edges share the slot base + class.
+
+    ``classes`` are those of all edges, state by state. No two states share a
+    base, and none has 0. States with many edges are placed first, each at
+    random places until all its slots are free.
+    """
+    rng = np.random.default_rng(0)
+    room = int(len(classes) / FILLED) + len(degrees) + 2
+    firsts = np.cumsum(degrees) - degrees
+    base = np.zeros(len(degrees), np.int64)
+    used, taken = np.zeros(room + width, bool), np.zeros(room, bool)
+    taken[0] = True
+    slots_of, states_of = np.zeros(room + width, np.int64), np.zeros(room, np.int64)
+    sizes = np.frexp(degrees.astype(float))[1]
+    for size in sorted(set(sizes.tolist()), reverse=True):
+        left = np.flatnonzero(sizes == size)
+        while len(left):
+            tried = rng.integers(1, room, len(left))
+            many = degrees[left]
+            owner = np.repeat(np.arange(len(left)), many)
+            at = np.repeat(firsts[left] - np.cumsum(many) + many, many) + np.arange(len(owner))
+            slots = tried[owner] + classes[at]
+            # Of those that want one place in this round the last one written has it.
+            slots_of[slots], states_of[tried] = owner, np.arange(len(left))
+            fits = ~taken[tried] & (states_of[tried] == np.arange(len(left)))
+            fits[owner[used[slots] | (slots_of[slots] != owner)]] = False
+            base[left[fits]] = tried[fits]
+            taken[tried[fits]] = True
+            used[slots[fits[owner]]] = True
+            left = left[~fits]
+    return base, room + width
 
 
 class Parser:
-    """The automata of all samples as one table of moves."""
+    """The automata of all samples as one table of moves.
+
+    A state is a number, its base; the edge by class c lies in slot base + c,
+    which holds the base it belongs to and the base it leads to. So memory grows
+    with the characters of the samples, not with their alphabets. A slot of
+    another state means that there is no such edge: a phrase ends, and the next
+    one begins with this character, by the moves from the root, which has base 0
+    and no slots.
+    """
 
     def __init__(self, samples: tuple[Sample, ...]):
         self.languages = [s.language for s in samples]
-        letters = sorted({c for s in samples for c in s.text.lower() if c.isalpha()})
-        self.classes = 3 + len(letters)
-        self.known = np.full(0x3000, OTHER, np.uint16)
-        self.known[[i for i in range(0x3000) if not chr(i).isalpha()]] = BLANK
-        self.rare = {}
-        for k, c in enumerate(letters, 3):
-            if ord(c) < 0x3000:
-                self.known[ord(c)] = k
-            else:
-                self.rare[ord(c)] = k
-        coded = [self.codes(s.text)[0] for s in samples]
-        # An automaton has at most twice as many states as its sample has characters.
-        cells = 2 * sum(len(c) + 1 for c in coded) * self.classes
-        kind = np.int32 if 2 * cells < 2**31 else np.int64
-        moves, self.roots, self.bits, base = [np.zeros((0, self.classes), kind)], [], [], 0
-        for codes in coded:
-            table = suffix_automaton(codes, self.classes)
-            none = table < 0
-            to = np.where(none, np.where(table[0] >= 0, table[0], 0), table).astype(kind) + kind(base)
-            none[0] = True  # from the root, where a text starts and unknown characters lead, a phrase begins
-            to[:, END] = np.arange(len(table)) + base
-            none[:, END] = False
-            to *= self.classes * 2
-            to += none
-            moves.append(to)
-            self.roots.append(base * self.classes)
+        letters = sorted({ord(c) for s in samples for c in s.text.lower() if c.isalpha()})
+        self.classes = 2 + len(letters)
+        self.known = np.where(_letters(), np.int32(OTHER), np.int32(BLANK))
+        self.known[letters] = np.arange(2, self.classes)
+        moves, starts, self.bits, shift = [np.zeros(0, np.int64)], [], [], 0
+        for sample in samples:
+            codes = self.codes(sample.text)[0]
+            edges = suffix_automaton(codes)
+            degrees = np.array([len(e) for e in edges], np.int64)
+            classes = np.fromiter((c for e in edges for c in e), np.int64, degrees.sum())
+            to = np.fromiter((t for e in edges for t in e.values()), np.int64, degrees.sum())
+            del edges
+            root = int(degrees[0])
+            base, slots = _placed(degrees[1:], classes[root:], self.classes)
+            base = np.concatenate([[0], base + shift])
+            start = np.zeros(self.classes, np.int64)
+            start[classes[:root]] = base[to[:root]]
+            starts.append(start)
+            part, owner = np.full(slots, -1, np.int64), np.repeat(base[1:], degrees[1:])
+            part[owner - shift + classes[root:]] = owner << 32 | base[to[root:]]
+            moves.append(part)
             self.bits.append(math.log2(len(codes) + 2))
-            base += len(table)
-        self.moves = np.concatenate(moves).ravel()
+            shift += slots
+        self.moves = np.concatenate(moves)
+        self.starts = np.array(starts).reshape(len(samples), self.classes)
 
     def codes(self, text: str) -> tuple[np.ndarray, bool]:
         """Classes of the characters, runs of blanks as one; and whether there is a letter."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.known[np.minimum(points, 0x2FFF)]
-        for point in np.unique(points[points >= 0x3000]).tolist():
-            codes[points == point] = self.rare.get(point, OTHER if chr(point).isalpha() else BLANK)
+        codes = self.known[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
         blank = codes == BLANK
         again = np.zeros(len(codes), bool)
         again[1:] = blank[1:] & blank[:-1]
@@ -133,12 +180,19 @@ class Parser:
         begins = ((np.cumsum(lengths) - lengths)[owner] + nth[order] * SEGMENT)[:, None]
         data = np.concatenate(rows)
         active = len(size) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1))
-        state = np.tile(np.array(self.roots, self.moves.dtype), (len(size), 1))
+        state = np.zeros((len(size), len(self.languages)), np.int64)
         count = np.zeros((len(size), len(self.languages)), np.int32)
+        if not len(self.languages):
+            return total
         for t, n in enumerate(active.tolist()):
-            move = self.moves[state[:n] + data[begins[:n] + t]]
-            count[:n] += move & 1
-            state[:n] = move >> 1
+            code = data[begins[:n] + t]
+            move = self.moves.take(state[:n] + code)
+            ends = move >> 32 != state[:n]
+            move &= 0xFFFFFFFF
+            row, language = np.nonzero(ends)
+            move[row, language] = self.starts[language, code[row, 0]]
+            count[:n] += ends
+            state[:n] = move
         np.add.at(total, owner, count)
         return total
 

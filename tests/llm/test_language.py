@@ -60,3 +60,22 @@ def test_texts_without_letters_null_rows_and_empty_tables(spark, docs):
     assert language.learn(labelled.where("false")) == ()
     assert language.identify(docs([(1, "cat")]), ()).collect()[0].lang_pred == "und"
     assert language.identify(docs([]), samples).collect() == []
+
+
+def test_large_scripts_stay_small():
+    """Samples of full length in four small and three large scripts: memory follows characters, not alphabets."""
+    rng = np.random.default_rng(5)
+    spans = [(0x61, 26), (0x3B1, 25), (0x430, 32), (0x561, 38), (0x4E00, 9000), (0xAC00, 11_000), (0x3400, 6000)]
+    samples = []
+    for nth, (first, many) in enumerate(spans):
+        letters = (first + many * rng.random(50_000) ** 3).astype(int)
+        letters[rng.random(50_000) < 0.15] = 0x20
+        samples.append(Sample(str(nth), "".join(map(chr, letters))))
+    parser = Parser(tuple(samples))
+    assert parser.moves.nbytes + parser.starts.nbytes + parser.known.nbytes < 60e6
+    texts = [s.text[at : at + 120].strip() for s in samples for at in (100, 20_000)] + ["ab 漢字 가나 αβ" * 9, "\ud800a"]
+    coded = ["".join(map(chr, parser.codes(t)[0] + 100)) for t in texts]
+    inside = ["".join(map(chr, parser.codes(s.text)[0] + 100)) for s in samples]
+    counts = parser.phrases([parser.codes(t)[0] for t in texts])
+    for text, got in zip(coded, counts):
+        assert got.tolist() == [phrases(text, sample) for sample in inside]
