@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from pixeltide.llm import exact_search
+from pixeltide.sources.shared_folder import stored
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -54,10 +55,38 @@ def test_unfit_vectors_short_vectors_and_few_rows(spark):
     assert search(df.where("false"), "true") == []
 
 
-def test_components_beyond_the_exact_range_are_an_error(spark):
-    df = spark.createDataFrame([(0, [1e9]), (1, [1.0])], SCHEMA)
-    with pytest.raises(Exception, match="beyond"):
-        search(df, "true")
+def test_large_components_are_scored_exactly(spark, monkeypatch):
+    """Sums that 64-bit floats would round, beyond a long, and components of every size beside one another."""
+    monkeypatch.setattr(exact_search, "GROUP_ROWS", 12)
+    monkeypatch.setattr(exact_search, "BLOCK_ROWS", 4)
+    rng = np.random.default_rng(6)
+    big = [(i, [float(rng.integers(2**21, 2**22)) * s for s in (1, -1, 1)]) for i in range(40)]
+    small = [(i, rng.normal(size=3).astype(np.float32).tolist()) for i in range(40, 80)]
+    rows = big + small + [(80, [1e9, 1.0, 0.0]), (81, [-1e9, 1.0, 1e-3]), (82, [3e38, 3e38, 0.0]), (83, [3e38, -3e38, 1.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    code = {i: [int(np.floor(float(np.float32(x)) * 256)) for x in v] for i, v in rows}
+    expected = []
+    for q in sorted(code):
+        scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(code[q], c)))), i) for i, c in code.items() if i != q]
+        expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:5], 1)]
+    assert search(df, "true") == expected
+
+
+def test_groups_are_skipped_and_walked_by_falling_bound(spark, monkeypatch):
+    """Queries meet the extremes of groups on several shelves, and few groups are sent a query."""
+    monkeypatch.setattr(exact_search, "GROUP_ROWS", 20)
+    monkeypatch.setattr(exact_search, "SHELF", 4)
+    written = {}
+    monkeypatch.setattr(exact_search, "stored", lambda df, name: written.setdefault(name, []).append(stored(df, name)) or written[name][-1])
+    rng = np.random.default_rng(7)
+    centre = 4 * rng.normal(size=(12, 6))
+    rows = [(i, (centre[i % 12] + 0.1 * rng.normal(size=6)).astype(np.float32).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert search(df, "vec_id % 5 = 0") == brute(rows, range(0, 600, 5))
+    groups = written["index"][0].count()
+    assert written["shelves"][0].count() == -(-groups // 4) > 1
+    sent = sum(len(r.queries) for due in written["visits"] for r in due.collect())
+    assert 0 < sent < 120 * groups / 3
 
 
 def test_blocks_are_skipped(spark):
@@ -69,10 +98,10 @@ def test_blocks_are_skipped(spark):
     x = np.floor(x)[order]
     row = {
         "ids": order.astype(np.int64).tobytes(),
-        "codes": x.astype(np.int32).tobytes(),
+        "codes": x.tobytes(),
         "sizes": np.array([len(b) for b in blocks], np.int64).tobytes(),
-        "high": np.stack([p.max(0) for p in np.split(x, len(blocks))]).astype(np.int32).tobytes(),
-        "low": np.stack([p.min(0) for p in np.split(x, len(blocks))]).astype(np.int32).tobytes(),
+        "high": np.stack([p.max(0) for p in np.split(x, len(blocks))]).tobytes(),
+        "low": np.stack([p.min(0) for p in np.split(x, len(blocks))]).tobytes(),
     }
     group = exact_search.Group(row, 8)
     scored = []
@@ -84,6 +113,6 @@ def test_blocks_are_skipped(spark):
             return np.asarray(self)[key]
 
     group.x = group.x.view(Counted)
-    at, found, score = group.search(np.array([-1]), x[:1], np.array([exact_search.NONE]), 5)
+    at, found, score = group.search(np.array([-1]), x[:1], np.array([exact_search.LOWEST]), 5)
     assert sorted(score.tolist(), reverse=True) == sorted((x @ x[0]).astype(int).tolist(), reverse=True)[:5]
     assert len(scored) <= len(blocks) / 2
