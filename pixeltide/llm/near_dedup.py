@@ -240,7 +240,9 @@ def near_duplicates(
         .where("low < high and rows > 2")  # of two rows, the only pair is settled
         .select("hub")
     )
-    dealt = _dealt(groups.join(unsettled, "hub", "left_semi"))
+    # Both written: the join is split or sent, however many rows a hub has, and what follows is dealt by hub and label.
+    unsettled = stored(unsettled, "unsettled")
+    dealt = _dealt(stored(groups.join(unsettled, "hub", "left_semi"), "open"))
     more = (
         dealt.join(sets.withColumnRenamed("id", "rep"), "rep")
         .select("hub", "first", "last", "second", "rep", "label", "shingles")
