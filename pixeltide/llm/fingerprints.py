@@ -1,7 +1,8 @@
 """Merkle fingerprints of documents.
 
-A text is a tree: pieces of sentences (at most 4 words) make paragraphs (lines),
-paragraphs make sections, sections make the root. A section ends at an empty
+A text is a tree: pieces of sentences (at most 4 words, and of longer ones than
+``LONG`` characters the parts between content-defined cuts, so lines without
+spaces are cut too) make paragraphs (lines), paragraphs make sections, sections make the root. A section ends at an empty
 line or at a paragraph whose digest begins with one of 32 in 256 bytes, so an
 inserted paragraph moves no section borders but those around it. A leaf's
 digest covers its bytes, an inner node's the digests below, so equal roots mean
@@ -21,6 +22,7 @@ import re
 from collections import Counter
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,19 +34,42 @@ _SENTENCE = re.compile(r"\s*(?:\S*[^\s.!?]\s+){0,3}\S*\s*")
 DIGITS = 8
 #: First bytes of a paragraph's digest that end a section, of 256.
 SECTION_ENDS = 32
+#: Characters from which a piece is cut, characters a cut depends on, and least distance of cuts; one place of 32 is a cut.
+LONG, WINDOW, APART = 128, 4, 8
 
 
 def _node(children: list[bytes], level: bytes) -> bytes:
     return blake2b(level + b"".join(children), digest_size=16).digest()
 
 
+def _cut(piece: str) -> list[str]:
+    """Parts of a long piece, cut where its last ``WINDOW`` characters say so, so that edits move no cuts but those near them."""
+    points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    mixed = np.zeros(len(points) - WINDOW + 1, np.uint64)
+    for k in range(WINDOW):
+        mixed = mixed * np.uint64(1_000_003) + points[k : k + len(mixed)]
+    marks = np.flatnonzero(mixed * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(59) == 0) + WINDOW
+    cuts = [0]
+    for mark in marks.tolist():
+        if mark - cuts[-1] >= APART:
+            cuts.append(mark)
+    return [part for a, b in zip(cuts, [*cuts[1:], len(piece)]) if (part := piece[a:b])]
+
+
+def _pieces(paragraph: str) -> list[str]:
+    pieces = [s for s in _SENTENCE.findall(paragraph) if s]
+    if len(paragraph) <= LONG:
+        return pieces
+    return [part for s in pieces for part in ([s] if len(s) <= LONG else _cut(s))]
+
+
 def fingerprint_of(text: str) -> str:
     """The fingerprint of a text."""
     sections, section, shown = [], [], []
     out = []
     half = DIGITS // 2
     for paragraph in _PARAGRAPH.findall(text):
-        leaves = [blake2b(b"\0" + s.encode("utf-8", "surrogatepass"), digest_size=16).digest() for s in _SENTENCE.findall(paragraph) if s]
+        leaves = [blake2b(b"\0" + s.encode("utf-8", "surrogatepass"), digest_size=16).digest() for s in _pieces(paragraph)]
         digest = _node(leaves, b"\1")
         section.append(digest)
         shown.append(digest[:half].hex() + "=" + "".join(x[:half].hex() for x in leaves))

@@ -75,3 +75,18 @@ def test_the_next_document_goes_round(spark, docs, rows):
 def test_next_of_one_row_and_of_none(spark, docs):
     assert [tuple(r) for r in fp.with_next(docs([(5, "x")])).collect()] == [(5, "x", "x")]
     assert fp.with_next(docs([])).collect() == []
+
+
+def test_lines_without_spaces_are_cut_by_content():
+    rng = random.Random(9)
+    line = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    for make in (line, lambda n: "".join(rng.choice("acgt") for _ in range(n))):
+        text = make(4000)
+        whole = fp.fingerprint_of(text)
+        assert fp.likeness_of(whole, fp.fingerprint_of(text[:2000] + make(2000))) > 0.3
+        assert fp.likeness_of(whole, fp.fingerprint_of(text[:1500] + make(3) + text[1500:])) > 0.9
+        assert fp.likeness_of(whole, fp.fingerprint_of(make(4000))) < 0.1
+        assert "".join(fp._pieces(text)) == text
+    same = "a" * 200_000
+    assert "".join(fp._pieces(same)) == same
+    assert len(fp._pieces(same)) <= len(same) / fp.APART + 1
